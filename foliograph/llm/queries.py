@@ -66,3 +66,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_ranking, p4_found, p4_pieces, p5_found, p6_found, p6_containers)
 }
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    from foliograph.llm.leakage import leaks
+
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "heldout_passages"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact check after the alignment: fifteen consecutive words of the passage."""
+    return p7_leaks(spark, folder).filter("words >= 15").select("doc_id", "item_id").distinct()
+
+
+QUERIES |= {f.__name__: f for f in (p7_found, p7_leaks)}
