@@ -80,3 +80,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p7_found, p7_leaks)}
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from foliograph.llm.vectors import neighbours
+
+    return neighbours(table(spark, folder, "chunks"), "id", "embedding_dense", version="created_at")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p3_neighbours(spark, folder)
+    return pairs.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_neighbours)}
