@@ -94,3 +94,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p3_found, p3_neighbours)}
+
+
+def p1_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """The last delivery of every result, with its defects."""
+    from foliograph.llm.pairs import defects
+
+    rows = latest(table(spark, folder, "eval_results"), ["result_id"], "run_at", ["result_id", "id", "question", "answer"])
+    golden = table(spark, folder, "golden_set").select("id", (F.col("category") == "honest_refusal").alias("may_refuse")).dropDuplicates(["id"])
+    return defects(rows.join(golden, "id", "left"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_defects(spark, folder).filter("defect is not null").select("result_id", "defect")
+
+
+QUERIES |= {f.__name__: f for f in (p1_found, p1_defects)}
