@@ -22,7 +22,7 @@ from foliograph.llm import wordcodes as wc
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
-#: Positions hashed at once and characters of texts taken at once; both bound the memory of a task.
+#: Positions hashed at once, which bounds the memory of a task.
 STRIDE = 1 << 19
 #: Characters of passages that one pass over the documents holds; more are taken in further passes.
 PASS_CHARS = 4_000_000
@@ -264,7 +264,7 @@ def _verify(index: Index, regions: list[tuple]) -> list[tuple]:
 def _scan(index: Index, ids: np.ndarray, texts: list[str | None]) -> list[tuple]:
     found: list[tuple] = []
     waiting: list[tuple] = []
-    for s in slices(texts):
+    for s in wc.slices(texts):
         flat, bounds = normal(texts[s])
         own = ids[s]
         for d, k, diag, first, last in index.regions(flat, bounds):
@@ -288,19 +288,6 @@ def _scan(index: Index, ids: np.ndarray, texts: list[str | None]) -> list[tuple]
     return [r for _, r in best.values()]
 
 
-def slices(texts: list[str | None], most: int = STRIDE) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
-    a = total = 0
-    for b, t in enumerate(texts):
-        n = len(t or "")
-        if b > a and total + n > most:
-            yield slice(a, b)
-            a, total = b, 0
-        total += n
-    if a < len(texts):
-        yield slice(a, len(texts))
-
-
 def leaks(docs: DataFrame, key: str, text: str, held: DataFrame, item: str, passage: str, words: int = 15, edits: int = 1, q: int = 20) -> DataFrame:
     """Documents and the held-out items that leaked into them:
     ``(key, item_id, first_word, words, aligned, edits)``.

@@ -23,9 +23,12 @@ from foliograph.session import materialise
 CHUNKS, WIDTH = 10, 4
 SYMBOLS = CHUNKS * WIDTH
 #: Pairs that meet within this distance are compared by text. At the similarity 0.6 a pair has 24 equal symbols of 40
-#: on average, with a standard deviation of 3.1; fewer than 10 are expected in fewer than one pair in 100,000.
-FAR = 30
+#: on average, with a standard deviation of 3.1; fewer than 14 are expected in one pair of 2,000.
+FAR = 26
+#: Representatives of one key that are compared in one piece.
 BLOCK = 2048
+#: Shingles held at once when pairs are compared by text.
+HELD = 1 << 20
 
 _SEEDS = wc.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _PACKED = [f"p{i}" for i in range(SYMBOLS // 8)]
@@ -70,17 +73,19 @@ def signed(items: DataFrame, size: int) -> DataFrame:
     whole and by the low bytes of the symbols."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            codes, _, start, stop, first = wc.words(b["_text"].tolist())
-            s, first = wc.shingles(wc.word_hashes(codes, start, stop), first, size)
-            sig = signatures(s, first)
-            n = np.diff(first)
-            fp = np.zeros((len(n), 2), np.uint64)
-            for j, x in enumerate((s, wc.mix(s ^ np.uint64(0x5851F42D4C957F2D)))):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
-                fp[:, j] = total[first[1:]] - total[first[:-1]]
-            packed = np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
-            yield pd.DataFrame({"_id": b["_id"], "_v": b["_v"], "_n": n.astype(np.int32), "_fp": list(fp.view(np.int64)), "_sig": list(sig.view(np.int32)), "_packed": list(packed)})
+        for whole in batches:
+            for part in wc.slices(whole["_text"].tolist()):
+                b = whole.iloc[part]
+                codes, _, start, stop, first = wc.words(b["_text"].tolist())
+                s, first = wc.shingles(wc.word_hashes(codes, start, stop), first, size)
+                sig = signatures(s, first)
+                n = np.diff(first)
+                fp = np.zeros((len(n), 2), np.uint64)
+                for j, x in enumerate((s, wc.mix(s ^ np.uint64(0x5851F42D4C957F2D)))):
+                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+                    fp[:, j] = total[first[1:]] - total[first[:-1]]
+                packed = np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+                yield pd.DataFrame({"_id": b["_id"], "_v": b["_v"], "_n": n.astype(np.int32), "_fp": list(fp.view(np.int64)), "_sig": list(sig.view(np.int32)), "_packed": list(packed)})
 
     return items.mapInPandas(run, SIGNED)
 
@@ -136,20 +141,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     """Pairs with their similarity by the texts themselves, where it is at least ``least``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n = len(b)
-            codes, _, start, stop, first = wc.words(b["ta"].tolist() + b["tb"].tolist())
-            s, first = wc.shingles(wc.word_hashes(codes, start, stop), first, size)
-            sizes = np.diff(first)
-            pair = np.tile(np.arange(n, dtype=np.uint64), 2).repeat(sizes)
-            both = np.lexsort((s, pair))
-            s, pair = s[both], pair[both]
-            same = (s[1:] == s[:-1]) & (pair[1:] == pair[:-1])
-            shared = np.bincount(pair[1:][same].astype(np.int64), minlength=n)
-            union = sizes[:n] + sizes[n:] - shared
-            # shared / union >= least, free of rounding for two-digit thresholds
-            keep = (union > 0) & (shared * 10_000 >= np.round(least * 10_000) * union)
-            yield pd.DataFrame({"a": b["a"][keep], "b": b["b"][keep], "similarity": (shared[keep] / union[keep])})
+        for whole in batches:
+            # Every text of a batch is cut into shingles once, however many pairs it is in.
+            ids = np.concatenate((whole["a"].to_numpy(), whole["b"].to_numpy()))
+            _, first_seen, number = np.unique(ids, return_index=True, return_inverse=True)
+            both = whole["ta"].tolist() + whole["tb"].tolist()
+            distinct = [both[i] for i in first_seen]
+            sets: list[np.ndarray] = []
+            for part in wc.slices(distinct):
+                codes, _, start, stop, first = wc.words(distinct[part])
+                s, first = wc.shingles(wc.word_hashes(codes, start, stop), first, size)
+                sets += [s[i:j] for i, j in zip(first[:-1], first[1:])]
+            sizes = np.asarray([len(x) for x in sets])
+            left, right = number[: len(whole)], number[len(whole) :]
+            weight = np.cumsum(sizes[left] + sizes[right]) // HELD
+            for k in np.unique(weight):
+                rows = np.flatnonzero(weight == k)
+                s = np.concatenate([sets[i] for i in left[rows]] + [sets[i] for i in right[rows]])
+                pair = np.concatenate((np.repeat(np.arange(len(rows)), sizes[left[rows]]), np.repeat(np.arange(len(rows)), sizes[right[rows]])))
+                order = np.lexsort((s, pair))
+                s, pair = s[order], pair[order]
+                same = (s[1:] == s[:-1]) & (pair[1:] == pair[:-1])
+                shared = np.bincount(pair[1:][same], minlength=len(rows))
+                union = sizes[left[rows]] + sizes[right[rows]] - shared
+                # In whole numbers, so that a share that equals the threshold isn't lost to rounding.
+                keep = (union > 0) & (shared * 10_000 >= round(least * 10_000) * union)
+                yield pd.DataFrame({"a": whole["a"].to_numpy()[rows[keep]], "b": whole["b"].to_numpy()[rows[keep]], "similarity": shared[keep] / union[keep]})
 
     ta = texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta"))
     tb = texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb"))

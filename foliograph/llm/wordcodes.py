@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -100,3 +100,16 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, n
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     s, owner = s[new], owner[new]
     return s, np.searchsorted(owner, np.arange(texts + 1))
+
+
+def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
+    a = total = 0
+    for b, t in enumerate(texts):
+        n = len(t or "")
+        if b > a and total + n > most:
+            yield slice(a, b)
+            a, total = b, 0
+        total += n
+    if a < len(texts):
+        yield slice(a, len(texts))
