@@ -24,12 +24,16 @@ SAMPLE = 40_000
 LEVELS, WORDS, BEAM = 4, 64, 4
 PROBES = 32
 #: Rows of a group of cells, and queries compared with them in one task.
-GROUP, QUERIES = 8192, 8192
+GROUP, QUERIES = 32_768, 65_536
+#: Queries travel as 16-bit integers, this many to one; their cosines are exact to about 1e-5.
+SHORT = 32_767
+#: Queries scored together within a task.
+STEP = 4096
 
 
 def cells_for(n: int) -> int:
-    """Cells grow with the square root of the collection, as a power of two, from 16 to 4096."""
-    return 1 << int(np.clip(round(np.log2(max(4 * np.sqrt(max(n, 1)), 1))), 4, 12))
+    """Cells grow with the collection to the power 2/3, as a power of two, from 16 to 4096."""
+    return 1 << int(np.clip(round(np.log2(max(n, 1)) * 2 / 3), 4, 12))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -160,47 +164,83 @@ def grouping(q: Quantiser, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarr
 
 def compare(q: Quantiser, k: int, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, codes: np.ndarray, qids: np.ndarray, qx: np.ndarray, probes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` most similar of ``ids`` for each query, within the cells it probes: ``(query number, id, cosine)``."""
-    tables = [np.ascontiguousarray(qx @ b.T) for b in q.books]
-    norm = np.maximum(np.linalg.norm(q.decode(cell, codes), axis=1), 1e-9).astype(np.float32)  # stored with the codes' rows
     order = np.argsort(cell, kind="stable")
-    present, begin = np.unique(cell[order], return_index=True)
-    end = np.append(begin[1:], len(order))
-    flat = np.concatenate(probes) if len(probes) else np.zeros(0, np.int64)
+    ids, x, cell, codes = ids[order], x[order], cell[order], codes[order].astype(np.int64)
+    present, begin = np.unique(cell, return_index=True)
+    ends = np.append(begin[1:], len(cell))
+    scale = (1 / np.maximum(np.linalg.norm(q.decode(cell, codes), axis=1), 1e-9)).astype(np.float32)  # the stored norms
+    out = [_compare(q, k, ids, x, codes, scale, present, begin, ends, qids[i : i + STEP], qx[i : i + STEP], probes[i : i + STEP], i) for i in range(0, len(qids), STEP)]
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _compare(q, k, ids, x, codes, scale, present, begin, ends, qids, qx, probes, base):
+    flat = np.concatenate(probes)
     who = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
+    nearest = np.zeros(len(flat), bool)
+    nearest[np.concatenate(([0], np.cumsum([len(p) for p in probes])[:-1]))[[len(p) > 0 for p in probes]]] = True
     by = np.argsort(flat, kind="stable")
-    flat, who = flat[by], who[by]
+    flat, who, nearest = flat[by], who[by], nearest[by]
+    lows, highs = np.searchsorted(flat, present), np.searchsorted(flat, present, side="right")
+    tables = [np.ascontiguousarray(b @ qx.T) for b in q.books]
     floor = np.full(len(qids), -2.0, np.float32)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for c, a, b in zip(present, begin, end):
-        lo, hi = np.searchsorted(flat, c), np.searchsorted(flat, c, side="right")
-        if lo == hi:
-            continue
-        qs, ds = who[lo:hi], order[a:b]
-        score = np.repeat((qx[qs] @ q.cells[c])[:, None], len(ds), 1)
+
+    def scores(c: int, a: int, b: int, qs: np.ndarray) -> np.ndarray:
+        """Of the cell's rows (down) for the queries (across): sums of table entries times the stored norms."""
+        s = np.broadcast_to(qx[qs] @ q.cells[c], (b - a, len(qs))).copy()
         for m, t in enumerate(tables):
-            score += t[qs][:, codes[ds, m]]
-        score /= norm[ds]
-        score[qids[qs][:, None] == ids[ds]] = -3.0
-        if len(ds) >= k:
-            floor[qs] = np.maximum(floor[qs], np.partition(score, len(ds) - k, axis=1)[:, len(ds) - k])
-        i, j = np.nonzero(score >= (floor[qs] - 2 * q.margin)[:, None])
-        keep = score[i, j] > -3.0
-        found.append((qs[i[keep]], ds[j[keep]], score[i[keep], j[keep]]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    qn, dn, s = (np.concatenate(z) for z in zip(*found))
-    keep = s >= floor[qn] - 2 * q.margin
-    qn, dn = qn[keep], dn[keep]
-    cos = np.concatenate([np.einsum("nd,nd->n", qx[qn[i : i + 65536]].astype(np.float64), x[dn[i : i + 65536]].astype(np.float64)) for i in range(0, len(qn), 65536)] or [np.zeros(0)])
+            s += t[:, qs][codes[a:b, m]]
+        s *= scale[a:b, None]
+        s[ids[a:b, None] == qids[qs]] = -3.0
+        return s
+
+    def keep(s: np.ndarray, a: int, qs: np.ndarray) -> None:
+        hit = np.flatnonzero(s >= floor[qs] - 2 * q.margin)
+        i, j = hit // len(qs), hit % len(qs)
+        s = s.ravel()[hit]
+        real = s > -3.0
+        found.append((qs[j[real]], a + i[real], s[real]))
+
+    # Each query's first cell sets what the others must come near to; the rest only has to pass it.
+    for first in (True, False):
+        for c, a, b, lo, hi in zip(present, begin, ends, lows, highs):
+            qs = who[lo:hi][nearest[lo:hi] == first]
+            if not len(qs):
+                continue
+            s = scores(c, a, b, qs)
+            if b - a >= k and (first or (floor[qs] < -1).any()):
+                floor[qs] = np.maximum(floor[qs], np.partition(s.T, b - a - k, axis=1)[:, b - a - k])
+            elif not first:
+                # A cell with k rows above the floor raises it.
+                many = np.flatnonzero((s > floor[qs]).sum(0) >= k) if b - a >= k else []
+                if len(many):
+                    floor[qs[many]] = np.partition(s[:, many].T, b - a - k, axis=1)[:, b - a - k]
+            keep(s, a, qs)
+    qn, dn, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    near = s >= floor[qn] - 2 * q.margin
+    qn, dn = qn[near], dn[near]
+
+    def exact(kind) -> np.ndarray:
+        parts = [np.einsum("nd,nd->n", qx[qn[i : i + 65536]].astype(kind), x[dn[i : i + 65536]].astype(kind)) for i in range(0, len(qn), 65536)]
+        return np.concatenate(parts or [np.zeros(0, kind)])
+
+    # Single precision first; what it can't set apart from the last place is settled in double precision.
+    cos = exact(np.float32)
+    order = np.lexsort((-cos, qn))
+    qn, dn, cos = qn[order], dn[order], cos[order]
+    begin = np.searchsorted(qn, qn)
+    last = np.minimum(begin + k - 1, np.searchsorted(qn, qn, side="right") - 1)
+    near = cos >= cos[last] - 1e-5
+    qn, dn = qn[near], dn[near]
+    cos = exact(np.float64)
     order = np.lexsort((ids[dn], -cos, qn))
     qn, dn, cos = qn[order], dn[order], cos[order]
-    place = np.arange(len(qn)) - np.searchsorted(qn, qn)
-    top = place < k
-    return qn[top], ids[dn[top]], cos[top]
+    top = np.arange(len(qn)) - np.searchsorted(qn, qn) < k
+    return qn[top] + base, ids[dn[top]], cos[top]
 
 
 ENCODED = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("probes", T.ArrayType(T.IntegerType()))]
+    [T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("probes", T.ArrayType(T.IntegerType()))]
 )
 HITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("id", T.LongType())])))])
 
@@ -251,13 +291,13 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
                 x = unit(np.stack(p["v"].to_numpy()))
                 near = q.probes(x, probes)
                 cell, codes = q.encode(x, near)
-                yield pd.DataFrame({"id": p["id"].to_numpy(), "x": [r.tobytes() for r in x], "cell": cell.astype(np.int32), "codes": [r.tobytes() for r in codes], "probes": list(near.astype(np.int32))})
+                yield pd.DataFrame({"id": p["id"].to_numpy(), "x": [r.tobytes() for r in x], "short": [r.tobytes() for r in np.rint(x * SHORT).astype(np.int16)], "cell": cell.astype(np.int32), "codes": [r.tobytes() for r in codes], "probes": list(near.astype(np.int32))})
 
     index = materialise(points.select(F.col("rep").alias("id"), "v").mapInPandas(encode, ENCODED), "encoded")
     counts = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}
     group, blocks = grouping(q, counts)
     lookup = F.lit(group.astype(int).tolist())
-    wanted = index.select(F.col("id").alias("qid"), F.col("x").alias("qx"), "probes", F.explode(F.array_distinct(F.transform("probes", lambda c: lookup[c]))).alias("g"))
+    wanted = index.select(F.col("id").alias("qid"), F.col("short").alias("qx"), "probes", F.explode(F.array_distinct(F.transform("probes", lambda c: lookup[c]))).alias("g"))
     asked = {r.g: r["count"] for r in wanted.groupBy("g").count().collect()}
     parts = np.asarray([max(1, -(-asked.get(g, 0) // QUERIES)) for g in range(len(blocks))])
     sizes = F.broadcast(spark.createDataFrame(pd.DataFrame({"g": np.arange(len(blocks)), "blocks": blocks, "parts": parts}).astype("int32")))
@@ -282,7 +322,7 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
         if not len(d) or not len(a):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "near": np.zeros(0, object)})
         x = np.frombuffer(b"".join(d["x"]), np.float32).reshape(len(d), -1)
-        qx = np.frombuffer(b"".join(a["qx"]), np.float32).reshape(len(a), -1)
+        qx = unit(np.frombuffer(b"".join(a["qx"]), np.int16).reshape(len(a), -1))
         codes = np.frombuffer(b"".join(d["codes"]), np.uint8).reshape(len(d), -1)
         qids = a["qid"].to_numpy()
         n, near, cos = compare(shared.value, k, d["id"].to_numpy(), x, d["cell"].to_numpy(), codes, qids, qx, a["probes"].tolist())
