@@ -110,3 +110,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p1_found, p1_defects)}
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text with placeholders, and how many mentions were replaced."""
+    from foliograph.llm.pii import mentions
+
+    rows = mentions(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.size("mentions").alias("n_mentions"), "redacted")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliograph.llm.pii import mentions
+
+    rows = mentions(table(spark, folder, "documents"))
+    found = rows.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.kind", "m.found")
+    return found.distinct()
+
+
+QUERIES |= {f.__name__: f for f in (p8_found, p8_redacted)}
