@@ -327,11 +327,20 @@ def tidy(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
             end -= 1
         while start < end and not text[start].isalnum():
             start += 1
+        # A number goes on over a hyphen, and a letter closes two letters and three pairs of digits.
+        more = re.compile(r"(?:-\d+)+(?!\w)").match(text, end) or (re.compile(r" [A-Z](?!\w)").match(text, end) if re.fullmatch(r"[A-Z]{2}(?: \d\d){3}", text[start:end]) else None)
+        end = more.end() if more else end
         return (start, end) if sum(c.isdigit() for c in text[start:end]) >= 5 else None
     while end > start and text[end - 1] in ",;:|<>()\"' \n\r\t-=" or text[start:end].endswith(".."):
         end -= 1
     while start < end and text[start] in ".,;:|<>()\"' \n\r\t-":
         start += 1
+    if kind == "address":
+        # No sentence begins inside an address.
+        for m in re.finditer(r"([^\W_]+)\.\s+(?=[^\W\d_])", text[start:end]):
+            if m.group(1).lower() not in ABBREVIATED and not any(c.isdigit() for c in text[start + m.end() : end]):
+                end = start + m.end(1)
+                break
     # A closing full stop belongs to an abbreviation or an initial, else to the sentence.
     if end > start and text[end - 1] == ".":
         last = re.search(r"([^\W\d_]*)\.$", text[start:end])
