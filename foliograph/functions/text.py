@@ -19,7 +19,7 @@ PART_NUMBER = r"\b(\d{3}-\d{4}|\d[A-Z]-\d{4})\b"
 MODEL = r"\b(3[59]\d{2}[BC])\b"
 CONTROL_MODULE = r"\bADEM\s+(I{1,3}V?)\b"
 SECTION = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+Section)\b"
-MEASURE = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:kPa|psi|bar|rpm|mm|mV|kW|Hz|N·m|°C|L)\b"
+MEASURE = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:kPa|psi|bar|°C|°F|N·?m|lb·?ft|lb·?in|kW|hp|rpm|L|mL|US gal|US qt|gal|qt|mm|cm|m\b|in(?:ch)?)\b"
 CITED_PAGE = r"(?:стр\.|p\.)\s*(\d+)"
 
 
@@ -46,7 +46,7 @@ def control_module(h2: Column, h1: Column) -> Column:
 
 
 def smcs_codes(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_extract(text, SMCS, 1), "[;,]"), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(F.regexp_extract(text, SMCS, 1), "[;,]"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != "")
 
 
 def measurements(text: Column) -> Column:
@@ -81,13 +81,13 @@ def language(text: Column) -> Column:
 
 
 #: What an answer that declines contains.
-REFUSALS = ("в переданных фрагментах", "not in the provided fragments")
+REFUSALS = ("не содержится в O&M Manual", "is not in the O&M Manual")
 
 
 def declines(answer: Column, markers: tuple[str, ...] = REFUSALS) -> Column:
     out = F.lit(False)
     for m in markers:
-        out = out | F.lower(answer).contains(m)
+        out = out | answer.contains(m)
     return out
 
 
@@ -98,7 +98,7 @@ def squeezed(text: Column) -> Column:
 def block_text(lines: Column) -> Column:
     """The text of a layout block: spans end to end, lines with a space between, blanks collapsed, hyphenation undone."""
     joined = F.array_join(F.transform(lines, lambda line: F.array_join(F.transform(line["spans"], lambda s: s["text"]), "")), " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"(?U)(\w)- (\w)", "$1$2"))
+    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"([\p{L}\p{N}_])- ([\p{L}\p{N}_])", "$1$2"))
 
 
 def heading(text: Column) -> Column:

@@ -13,6 +13,7 @@ SYSTEM = {
     "ru": "Вы отвечаете на вопросы по руководствам двигателей только по пронумерованным фрагментам. Указывайте документ и страницу. Если ответа в них нет, скажите об этом.",
 }
 APPLIES = {"en": "Applies to: ", "ru": "Применимо к: "}
+ENGINES = {"en": "engines with ", "ru": "двигатели с "}
 
 
 def _clean(models: str) -> Column:
@@ -23,7 +24,7 @@ def applicability_line(control_module: str = "control_module", own: str = "appli
     """Control module (with the chunk's own models), else own models, else the manual's, else null."""
     mine, theirs, cm = _clean(own), _clean(of_doc), F.nullif(F.trim(F.coalesce(control_module, F.lit(""))), F.lit(""))
     body = (
-        F.when(cm.isNotNull(), F.concat_ws(" · ", cm, F.nullif(F.array_join(mine, ", "), F.lit(""))))
+        F.when(cm.isNotNull(), F.concat_ws(" · ", F.concat(F.lit(ENGINES[lang]), cm), F.nullif(F.array_join(mine, ", "), F.lit(""))))
         .when(F.size(mine) > 0, F.array_join(mine, ", "))
         .when(F.size(theirs) > 0, F.array_join(theirs, ", "))
     )
@@ -39,20 +40,16 @@ def header(answer: str, line: str, window: int | None = None) -> Column:
 def context(fragments: DataFrame, group: str = "ask_id", place: str = "place") -> DataFrame:
     """``(group, context)``: numbered fragments with document, heading and pages, in order. Fragments per question are few: they are
     the cut of a ranking."""
-    item = F.concat(
-        F.lit("["),
-        F.col(place).cast("string"),
-        F.lit("] "),
+    item = F.format_string(
+        "--- Fragment %d — SOURCE [%s, %s] — %s ---\n%s\n",
+        F.col(place),
         ft.publication_id(F.col("doc_filename")),
-        F.lit(", "),
         ft.citation(F.col("page_start"), F.col("page_end")),
-        F.lit(" | "),
-        F.col("heading"),
-        F.lit("\n"),
-        F.col("content"),
+        F.coalesce("heading", F.lit("")),
+        F.coalesce("content", F.lit("")),
     )
     x = fragments.withColumn("_i", F.struct(F.col(place).alias("p"), item.alias("t")))
-    return x.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_i")), lambda e: e["t"]), "\n\n").alias("context"))
+    return x.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_i")), lambda e: e["t"]), "\n").alias("context"))
 
 
 def claims(answer: str) -> Column:

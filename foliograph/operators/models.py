@@ -81,7 +81,7 @@ def embed(text: Column, model: Embed | None = None) -> Column:
         f = factory()
         for b in batches:
             d, s = f(b.fillna("").tolist())
-            yield pd.DataFrame({"dense": list(d.astype(np.float32)), "sparse": [list(x.items()) for x in s]})
+            yield pd.DataFrame({"dense": list(d.astype(np.float32)), "sparse": s})
 
     return run(text)
 
