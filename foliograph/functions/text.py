@@ -105,9 +105,16 @@ def heading(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"/\s+", "/"))
 
 
-def half_even(x: Column, digits: int) -> Column:
-    """Rounding as of the binary value, to the even neighbour: 15.95 is stored as 15.9499... and gives 15.9."""
-    return F.bround(x.cast("decimal(38,20)"), digits).cast("double")
+def tenths(x: Column) -> Column:
+    """Rounding to one digit as of the binary value, ties to the even neighbour: 15.95 is stored as 15.9499... and gives 15.9.
+
+    Ten times x is the sum of the exact products by eight and by two; what that sum loses decides where it seems a tie.
+    """
+    a, b = x * 8, x * 2
+    s = a + b
+    lost = b - (s - a)
+    whole = F.when(s - F.floor(s) != 0.5, F.rint(s)).when(lost > 0, F.ceil(s)).when(lost < 0, F.floor(s)).otherwise(F.rint(s))
+    return whole.cast("double") / 10
 
 
 def sigmoid(x: Column) -> Column:

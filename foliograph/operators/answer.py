@@ -17,7 +17,7 @@ ENGINES = {"en": "engines with ", "ru": "двигатели с "}
 
 
 def _clean(models: str) -> Column:
-    return F.filter(F.transform(F.coalesce(models, F.array().cast("array<string>")), F.trim), lambda m: m != "")
+    return F.filter(F.transform(F.coalesce(models, F.array().cast("array<string>")), lambda m: F.trim(m)), lambda m: m != "")
 
 
 def applicability_line(control_module: str = "control_module", own: str = "applicable_models", of_doc: str = "doc_models", lang: str = "en") -> Column:

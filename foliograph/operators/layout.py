@@ -80,12 +80,12 @@ def heading_profile(blocks: DataFrame) -> DataFrame:
     """
     x = blocks.filter(F.col("lines").isNotNull() & in_body())
     span = x.select("doc", "page", "block_no", F.posexplode(F.flatten(F.transform("lines", lambda line: line["spans"]))).alias("n", "s"))
-    span = span.select("doc", F.struct("page", "block_no", "n").alias("at"), F.length(F.trim("s.text")).alias("c"), ft.half_even(F.col("s.size"), 1).alias("size"), (F.col("s.flags").bitwiseAND(F.lit(BOLD)) != 0).alias("b")).filter("c > 0")
+    span = span.select("doc", F.struct("page", "block_no", "n").alias("at"), F.length(F.trim("s.text")).alias("c"), ft.tenths(F.col("s.size")).alias("size"), (F.col("s.flags").bitwiseAND(F.lit(BOLD)) != 0).alias("b")).filter("c > 0")
     sizes = span.groupBy("doc", "size").agg(F.sum("c").alias("chars"), F.coalesce(F.sum(F.when(F.col("b"), F.col("c"))), F.lit(0)).alias("bold"), F.min("at").alias("at"))
     back = lambda at: F.struct((-at["page"]).alias("p"), (-at["block_no"]).alias("b"), (-at["n"]).alias("n"))
     body = sizes.groupBy("doc").agg(F.max_by("size", F.struct("chars", back(F.col("at")))).alias("body"))
     anchors = x.withColumn("text", ft.block_text(F.col("lines"))).filter(F.col("text").rlike(rf"^{ft.ICODE}(\s|$)"))
-    anchors = anchors.select("doc", "page", "block_no", ft.half_even(max_size(), 1).alias("size"))
+    anchors = anchors.select("doc", "page", "block_no", ft.tenths(max_size()).alias("size"))
     counted = anchors.groupBy("doc", "size").agg(F.count("*").alias("c"), F.min(F.struct("page", "block_no")).alias("at"))
     hits = counted.groupBy("doc").agg(F.max_by("size", F.struct("c", F.struct((-F.col("at.page")).alias("p"), (-F.col("at.block_no")).alias("b")))).alias("ah1"), F.max("c").alias("hits"), F.sum("c").alias("n"))
     bold = sizes.filter(F.col("bold") > F.col("chars") / 2).join(body, "doc").filter(F.col("size") > F.col("body"))
@@ -160,25 +160,34 @@ def classified(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     return x.withColumn("kind", kind).drop("h1", "h2", "h3")
 
 
-REGION = T.StructType([T.StructField("doc", T.StringType()), T.StructField("page", T.IntegerType()), T.StructField("region", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")]])
+REGION = T.ArrayType(T.StructType([T.StructField("region", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")]]))
+
+
+def _gathered(lines: list[tuple[float, float, float, float]]) -> list[tuple]:
+    """Boxes of lines ``(y0, x0, x1, y1)`` that come in order."""
+    boxes: list[list[float]] = []
+    for b, a, c, d in lines:
+        near = next((r for r in boxes if min(r[2], c) - max(r[0], a) > X_OVERLAP and b <= r[3] + ROW_GAP), None)
+        if near is None:
+            boxes.append([a, b, c, d])
+        else:
+            near[:] = [min(near[0], a), min(near[1], b), max(near[2], c), max(near[3], d)]
+    kept = [r for r in boxes if r[3] - r[1] > TABLE_HEIGHT and r[2] - r[0] > TABLE_WIDTH]
+    return [(i, *r) for i, r in enumerate(kept)]
 
 
 def table_regions(drawings: DataFrame) -> DataFrame:
-    """Regions of ruled tables: lines, from the top down, join the first region they overlap in x and follow closely in y.
-    The order matters, so a page's lines are gone through together; a group is a page."""
-
-    def gather(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        boxes: list[list[float]] = []
-        for a, b, c, d in g.sort_values(["y0", "x0", "seq"])[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            near = next((r for r in boxes if min(r[2], c) - max(r[0], a) > X_OVERLAP and b <= r[3] + ROW_GAP), None)
-            if near is None:
-                boxes.append([a, b, c, d])
-            else:
-                near[:] = [min(near[0], a), min(near[1], b), max(near[2], c), max(near[3], d)]
-        kept = [r for r in boxes if r[3] - r[1] > TABLE_HEIGHT and r[2] - r[0] > TABLE_WIDTH]
-        return pd.DataFrame([(key[0], key[1], i, *r) for i, r in enumerate(kept)], columns=REGION.names)
-
-    return drawings.filter(is_table_line()).groupBy("doc", "page").applyInPandas(gather, REGION)
+    """``(doc, page, region, x0, y0, x1, y1)``: lines, from the top down, join the first region they overlap in x and follow
+    closely in y. The order matters, so a page's lines are gone through together; an Arrow batch holds many pages."""
+
+    @F.pandas_udf(REGION)
+    def gather(y0: pd.Series, x0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([_gathered(list(zip(*page))) for page in zip(y0, x0, x1, y1)])
+
+    line = F.struct("y0", "x0", "seq", "x1", "y1")
+    pages = drawings.filter(is_table_line()).groupBy("doc", "page").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    pages = pages.select("doc", "page", *[F.col(f"l.{c}").alias(c) for c in ("y0", "x0", "x1", "y1")])
+    return pages.select("doc", "page", F.explode(gather("y0", "x0", "x1", "y1")).alias("r")).select("doc", "page", "r.*")
 
 
 def in_tables(rows: DataFrame, regions: DataFrame) -> DataFrame:

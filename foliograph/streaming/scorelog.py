@@ -42,10 +42,14 @@ def reindex_stream(fresh: DataFrame, path: str, checkpoint: str):
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling windows by event type with a watermark; works on a table and on a stream."""
+    # A watermark needs an instant; times without a zone are taken in that of the session.
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     x = events.withWatermark("ts", late) if events.isStreaming else events
     return x.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    # A watermark needs an instant; times without a zone are taken in that of the session.
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     x = events.withWatermark("ts", late) if events.isStreaming else events
     return x.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
