@@ -303,7 +303,9 @@ def _decode(tag: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     return [sorted(s) for s in spans]
 
 
-ABBREVIATED = {"st", "rd", "ave", "blvd", "str", "ул", "пер", "просп", "пр", "д", "кв", "г"}
+#: Abbreviations in addresses that are written with a full stop, always or at times.
+ABBREVIATED = {"st", "str", "blvd", "ул", "пер", "просп", "пр", "д", "кв", "г"}
+SOMETIMES = {"rd", "ave", "apt", "ln", "ct"}
 _AT = re.compile(r"@|[(\[]\s*at\s*[)\]]|\sat\s", re.I)
 
 
@@ -315,6 +317,9 @@ def tidy(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
         if not m or sum(c.isdigit() for c in s) < 7:
             return None
         a, b = start + m.start(), start + m.end()
+        if text[a] == "+" and sum(c.isdigit() for c in text[a:b]) < 10:
+            more = re.compile(r"(?:[ -]\d{2,4})+(?!\d)").match(text, b)
+            b = more.end() if more else b
         if a and text[a - 1] == "+" and text[a] != "+":
             a -= 1
         return a, b
@@ -327,8 +332,11 @@ def tidy(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
             end -= 1
         while start < end and not text[start].isalnum():
             start += 1
-        # A number goes on over a hyphen, and a letter closes two letters and three pairs of digits.
-        more = re.compile(r"(?:-\d+)+(?!\w)").match(text, end) or (re.compile(r" [A-Z](?!\w)").match(text, end) if re.fullmatch(r"[A-Z]{2}(?: \d\d){3}", text[start:end]) else None)
+        # A number goes on to the end of its run and over hyphens; two formats end in a group of their own.
+        more = re.compile(r"[^\W_]*(?:-\d+)*(?!\w)").match(text, end)
+        end = more.end() if more else end
+        last = r" [A-Z](?!\w)" if re.fullmatch(r"[A-Z]{2}(?: \d\d){3}", text[start:end]) else r" \d\d(?!\d)" if re.fullmatch(r"\d{3}-\d{3}-\d{3}", text[start:end]) else r"(?!)"
+        more = re.compile(last).match(text, end)
         end = more.end() if more else end
         return (start, end) if sum(c.isdigit() for c in text[start:end]) >= 5 else None
     while end > start and text[end - 1] in ",;:|<>()\"' \n\r\t-=" or text[start:end].endswith(".."):
@@ -343,10 +351,11 @@ def tidy(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
                 break
     # A closing full stop belongs to an abbreviation or an initial, else to the sentence.
     if end > start and text[end - 1] == ".":
-        last = re.search(r"([^\W\d_]*)\.$", text[start:end])
-        word = last.group(1).lower() if last else ""
-        if not (len(word) == 1 if kind == "name" else word in ABBREVIATED):
-            end -= 1
+        end -= 1
+    last = re.search(r"([^\W\d_]+)$", text[start:end])
+    word = last.group(1) if last else ""
+    if text[end : end + 1] == "." and (len(word) == 1 and word.isupper() if kind == "name" else word.lower() in ABBREVIATED or word.lower() in SOMETIMES and text[end + 1 : end + 2] in (".", ",")):
+        end += 1
     if kind == "address":
         return (start, end) if any(c.isdigit() for c in text[start:end]) else None
     return (start, end) if re.search(r"[^\W\d_]{2}", text[start:end]) else None

@@ -24,7 +24,7 @@ WAYS = "Lane St. Street Rd Road Ave Avenue Terrace Court Close Way Boulevard".sp
 TOWNS = "Ardmouth Brackwater East_Tolland_Quay Kilbrenny_Bay Lower_Dunmarsh Norhelm Port_Vessen Sandhaven_Point".split()
 STREETS_DE = "Ankerschmied Kesselflicker Lotsenhof Möwendamm Tauwerk Hafen Linden".split()
 WAYS_DE = "straße str. gasse weg allee".split()
-STREETS_ES = "Calle_Cordelería Calle_del_Farol_Viejo Paseo_Marejadilla Avenida_del_Puerto".split()
+STREETS_ES = "Calle_Cordelería Calle_del_Farol_Viejo Paseo_Marejadilla Avenida_de_las_Anclas Avenida_del_Puerto".split()
 STREETS_RU = "Канатчиков Маслобойная Паровозная Смолокуренная Чаячья Шкиперская Якорная_Слобода Портовая".split()
 TOWNS_RU = "Белоякорск Верхнекамышин Новотуманск Порт-Залесный".split()
 HOSTS = "fleet.example example.com example.org example.net dealer.invalid crew.test quay.example yard-seven.example ops.harbour.example mail.tern.example".split()
@@ -38,6 +38,7 @@ Dear Ms {M}, the hose kit leaves on Monday.
 We asked {N} to repeat the test, and Capt. {M} agreed.
 Reported by {N} by phone ({P}) after the watch change.
 {N} ({E}) wrote that the strainer was clogged again.
+{N} ({E}) wrote that the strainer was clogged again.
 From: {N} <{E}>
 Call back on {P} before noon.
 His new number is {P}; the old mailbox {E} is closed.
@@ -72,6 +73,7 @@ Firmó el jefe {M}, {I}.
 Контакт;{R};{P};{E}
 С уважением,|{R}|тел. {P}|{E}
 Ship spare filters to:|{N}|{A}
+Ship spare filters to:|{N}|{A}
 """.strip().split("\n")
 
 #: Sentences without a mention; {o} order number, {p} part number, {v} value, {n} number, {e} engine, {s} ship, {f} firm.
@@ -124,11 +126,11 @@ Mechanics, engineers and the captain agreed. Second Engineer on watch.
 Tidewright Dealers and {f} keep the {t} in stock at {s}.
 Пишите разборчиво. Звоните в сервис. Механик проверил {r} дважды.
 """.strip().split("\n")
-THINGS = "oil cooler bundle|drain plug|thrust washer|flange bolt|turbocharger cartridge|jacket water pump|snap ring|keel cooler|main bearing cap|unit injector|rocker shaft|cover plate|camshaft follower|raw water strainer|bearing shell|Bourdon gauge|hydraulic jack".split("|")
+THINGS = "oil cooler bundle|drain plug|thrust washer|flange bolt|turbocharger cartridge|jacket water pump|snap ring|keel cooler|main bearing cap|unit injector|rocker shaft|cover plate|camshaft follower|raw water strainer|bearing shell|Bourdon gauge|hydraulic jack|piston crown|fuel cooler|rear seal carrier|duplex filter|expansion tank|priming pump|belt tensioner|valve bridge|crankcase breather|exhaust manifold".split("|")
 THINGS_RU = "насос охлаждения|маслозаборник|прокладку|выпускной коллектор|форсунку|термостат|датчик оборотов|трубка щупа|вкладыш|муфта|опора двигателя|шатун".split("|")
 SHIPS = "MV Pelagic Dawn|MV Calder Reach|tug Brisling|barge Quillon|dredger Oyster Nine|MV Tern Harbour|MV Northern Lark|trawler Holm".split("|")
 FIRMS = "Keelworks Yard|Bluefathom Service|Harrow and Pike Diesel|Norrsund Power|Lanternpoint Supply|Tidewright Dealers|Ostermark Marine".split("|")
-WORKS = "Inspect Replace Test Install Drain Clean Remove Adjust".split()
+WORKS = "Inspect Replace Test Install Drain Clean Remove Adjust Specifications Check Lubricate".split()
 
 
 class Maker:
@@ -211,7 +213,7 @@ class Maker:
     def address(self) -> str:
         street = f"{self.r.randint(1, 230)}{self.r.choice(['', '', '', 'A', 'B', 'C'])} {self.pick(STREETS) if self.r.random() < 0.8 else self.coined()} {self.r.choice(WAYS)}"
         town, flat, code = self.pick(TOWNS), self.r.randint(1, 40), "00" + self.digits(3)
-        s = self.r.choice([street, f"{street}, {town}", f"Flat {flat}, {street}, {town}", f"{street}, Apt {flat}, {town} {code}", f"{street}, {town}, ZZ{self.digits(1)} {self.digits(1)}QQ"])
+        s = self.r.choice([street, street, f"{street}, {town}", f"Flat {flat}, {street}, {town}", f"{street}, Apt {flat}, {town} {code}", f"{street}, {town}, ZZ{self.digits(1)} {self.digits(1)}QQ"])
         return self.cased(s)
 
     def address_de(self) -> str:
