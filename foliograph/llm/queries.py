@@ -129,3 +129,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p8_found, p8_redacted)}
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk with its class (the smallest id of its group of near duplicates) and its number of links to other texts."""
+    from foliograph.operators.components import components
+
+    near = p5_near(spark, folder)
+    ends = near.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    classes = components(near.links).select(F.col("id").alias("rep"), F.col("class"))
+    out = near.members.join(classes, "rep", "left").join(ends, "rep", "left")
+    return out.select("id", "rep", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+QUERIES |= {f.__name__: f for f in (p5_groups,)}

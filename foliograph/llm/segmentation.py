@@ -69,13 +69,14 @@ def _depths(sims: np.ndarray) -> np.ndarray:
     return left + right - 2 * sims
 
 
-def _near(at: np.ndarray, depth: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Depth of the gap nearest to each place."""
+def _near(at: np.ndarray, depth: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place, the depth of the gap nearest to it and how far that is."""
     if not len(at):
-        return np.zeros(len(places))
+        return np.zeros(len(places)), np.zeros(len(places), np.int64)
     k = np.searchsorted(at, places)
     before, after = np.clip(k - 1, 0, len(at) - 1), np.clip(k, 0, len(at) - 1)
-    return depth[np.where(places - at[before] <= at[after] - places, before, after)]
+    gap = np.where(np.abs(places - at[before]) <= np.abs(at[after] - places), before, after)
+    return np.round(depth[gap], 9), np.abs(places - at[gap])
 
 
 def split(text: str, limit: int = 8000, overlap: int = 200, least: float = 0.5) -> list[tuple[int, int]]:
@@ -83,8 +84,7 @@ def split(text: str, limit: int = 8000, overlap: int = 200, least: float = 0.5)
     the end of the one before it.
 
     A cut lies in the window from ``least`` of the limit to the limit. The strongest kind of boundary there (blank
-    line, line, sentence, white space) is taken, of that kind the one at the deepest valley, then the last one; a
-    window without any is cut at the limit. A text within the limit is one piece.
+    line, line, sentence, white space) is taken, of that kind the one at the deepest valley, nearest to it; a window without any is cut at the limit. A text within the limit is one piece.
     """
     if not 0 <= overlap < limit * least:
         raise ValueError("the overlap must be smaller than the least piece")
@@ -99,8 +99,8 @@ def split(text: str, limit: int = 8000, overlap: int = 200, least: float = 0.5)
         for kind in _BREAKS:
             ends = np.asarray([m.end() for m in kind.finditer(text, lo, hi) if lo < m.end() <= hi], np.int64)
             if len(ends):
-                score = np.round(_near(at, depth, ends), 9)
-                cut = int(ends[len(ends) - 1 - int(np.argmax(score[::-1]))])
+                valley, away = _near(at, depth, ends)
+                cut = int(ends[np.lexsort((ends, -away, valley))[-1]])
                 break
         cut = cut or hi
         pieces.append((start, cut))
