@@ -10,8 +10,8 @@ def targets(golden: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """``(qid, chunk_id)``: chunks that meet every stated part of a question's target: the manual's file, the start of the
     heading, a piece of the content (taken literally), the control module. A target that states nothing has none.
 
-    Targets that name a manual, the usual case, are an equi-join; the rest, if any, is compared with all chunks, the
-    questions being a stated set of bounded size.
+    Targets that name a manual, the usual case, or a heading are equi-joins; the rest, if any, is compared with all chunks,
+    the questions being a stated set of bounded size.
     """
     t = golden.select(F.col("id").alias("qid"), *[F.col(f"target_chunk.{c}").alias(f"t_{c}") for c in ("doc", "heading_startswith", "content_contains", "control_module")])
     t = t.filter("coalesce(t_doc, t_heading_startswith, t_content_contains, t_control_module) is not null")
@@ -25,6 +25,13 @@ def targets(golden: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     named = t.filter("t_doc is not null").join(names, F.col("t_doc") == F.col("filename")).join(c, F.col("d_id") == F.col("doc_id")).filter(meets)
     out = named.select("qid", "chunk_id")
     free = t.filter("t_doc is null")
+    shortest = free.agg(F.min(F.length("t_heading_startswith"))).first()[0]
+    if shortest:
+        # Headings meet on as many characters as the shortest start has.
+        by_head = free.filter("t_heading_startswith is not null").withColumn("k", F.substring("t_heading_startswith", 1, shortest))
+        heads = c.withColumn("h", F.substring("heading", 1, shortest))
+        out = out.unionByName(heads.join(by_head, F.col("h") == F.col("k")).filter(meets).select("qid", "chunk_id"))
+        free = free.filter("t_heading_startswith is null")
     if not free.isEmpty():
         out = out.unionByName(c.join(free, meets).select("qid", "chunk_id"))
     return out.distinct()
