@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliograph.functions import text as ft
+from foliograph.session import materialise
 
 # The geometry of the manuals, in points.
 GUTTER, GUTTER_SLACK = 306.0, 18.0
@@ -191,14 +192,20 @@ def table_regions(drawings: DataFrame) -> DataFrame:
 
 
 def in_tables(rows: DataFrame, regions: DataFrame) -> DataFrame:
-    """Adds ``region``: the first region that covers more than 0.6 of a paragraph's or step's area, else null."""
-    r = regions.select("doc", "page", "region", *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
-    w, h = F.least("bbox.x1", "rx1") - F.greatest("bbox.x0", "rx0"), F.least("bbox.y1", "ry1") - F.greatest("bbox.y0", "ry0")
+    """Adds ``region``: the first region that covers more than 0.6 of a paragraph's or step's area, else null. A page's regions
+    come to its blocks as one array."""
+    box = F.struct("region", *[F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    per_page = regions.groupBy("doc", "page").agg(F.array_sort(F.collect_list(box)).alias("_r"))
     area = (F.col("bbox.x1") - F.col("bbox.x0")) * (F.col("bbox.y1") - F.col("bbox.y0"))
-    body = rows.filter(F.col("kind").isin("para", "step"))
-    met = body.join(r, ["doc", "page"]).filter((w > 0) & (h > 0) & (area > 0)).filter(w * h / area > INSIDE_TABLE)
-    first = met.groupBy("doc", "page", "block_no").agg(F.min("region").alias("region"))
-    return rows.join(first, ["doc", "page", "block_no"], "left")
+
+    def covers(r: Column) -> Column:
+        w = F.least(F.col("bbox.x1"), r["x1"]) - F.greatest(F.col("bbox.x0"), r["x0"])
+        h = F.least(F.col("bbox.y1"), r["y1"]) - F.greatest(F.col("bbox.y0"), r["y0"])
+        return (w > 0) & (h > 0) & (w * h > INSIDE_TABLE * area)
+
+    first = F.get(F.filter("_r", covers), F.lit(0))["region"]
+    out = rows.join(per_page, ["doc", "page"], "left")
+    return out.withColumn("region", F.when(F.col("kind").isin("para", "step") & (area > 0), first)).drop("_r")
 
 
 def table_grid(spans: DataFrame, regions: DataFrame, drawings: DataFrame) -> DataFrame:
@@ -228,7 +235,7 @@ def table_grid(spans: DataFrame, regions: DataFrame, drawings: DataFrame) -> Dat
 def extract(blocks: DataFrame, drawings: DataFrame, first_page: int = 1, last_page: int | None = None) -> DataFrame:
     """Elements ``(doc, seq, kind, text, page, col, region)`` in reading order. The heading profile is that of the whole manual,
     whatever the range of pages. The first block in a table stands for it; the others are dropped."""
-    profiles = heading_profile(blocks)
+    profiles = materialise(heading_profile(blocks), "profiles")  # one small row per manual, read twice
     keep = F.col("page") >= first_page
     if last_page is not None:
         keep = keep & (F.col("page") <= last_page)
