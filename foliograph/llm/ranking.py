@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORES = ("rrf_score", "dense", "sparse", "rerank")
@@ -97,13 +97,26 @@ def ideal_point(
     )
 
 
+#: Bands of closeness within which places are counted; the bands before add their totals.
+BANDS = 64
+
+
 def ranked(items: DataFrame, group: str, item: str, top: int | None = None, **kw) -> DataFrame:
     """``ideal_point`` with a position: ``(group, item, closeness, place)``; equal closeness goes to the smaller item.
 
-    With ``top`` only the first places are kept (a top-k report); partial limits per task come before the shuffle.
+    With ``top`` only the first places are kept (a top-k report); partial limits per task come before the shuffle. Without
+    it, places are counted within bands of closeness, and the sizes of the bands above, at most ``BANDS`` small rows a
+    group, are added, so that a large group isn't sorted in one task.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(group).orderBy(F.col("closeness").desc(), F.col(item))
-    out = ideal_point(items, group, item, **kw).withColumn("place", F.row_number().over(w))
-    return out.filter(F.col("place") <= top) if top else out
+    near = ideal_point(items, group, item, **kw)
+    order = (F.col("closeness").desc(), F.col(item))
+    if top:
+        out = near.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+        return out.filter(F.col("place") <= top)
+    banded = near.withColumn("_band", F.least(F.floor((1 - F.col("closeness")) * BANDS), F.lit(BANDS - 1)))
+    before = Window.partitionBy("_gs").orderBy("_bs").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = banded.groupBy(F.col(group).alias("_gs"), F.col("_band").alias("_bs")).agg(F.count("*").alias("_c"))
+    sizes = sizes.withColumn("_above", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    placed = banded.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_band").orderBy(*order)))
+    out = placed.join(sizes, F.col(group).eqNullSafe(F.col("_gs")) & (F.col("_band") == F.col("_bs")))
+    return out.select(group, item, "closeness", (F.col("_above") + F.col("_in")).alias("place"))

@@ -20,6 +20,7 @@ _TOKENS = "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x{
 
 SQL: dict[str, str] = {
     "p2_found": _RANKED + "SELECT ask_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY closeness DESC, chunk_id) AS r FROM close) WHERE r <= 5",
+    "p2_ranking": _RANKED + "SELECT ask_id, chunk_id, round(closeness, 6) AS closeness, row_number() OVER (PARTITION BY ask_id ORDER BY closeness DESC, chunk_id) AS place FROM close",
     "p4_found": f"SELECT id FROM {_LAST} WHERE length(content) > 8000",
     "p5_found": f"""WITH w AS (SELECT id, {_WORDS.format("coalesce(heading, '') || ' ' || coalesce(content, '')")} AS l FROM {_LAST}),
 s AS (SELECT DISTINCT id, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] AS g FROM (SELECT id, l, unnest(range(1, len(l) - 1)) AS i FROM w WHERE len(l) >= 3)),
