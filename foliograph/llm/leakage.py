@@ -297,7 +297,7 @@ def leaks(docs: DataFrame, key: str, text: str, held: DataFrame, item: str, pass
     alignment and ``edits`` the edits in it. One row per pair with a verified region; a pair with ``words`` consecutive
     words in common is always among them, also with up to ``edits`` edited characters.
 
-    * Null or blank texts and passages, and passages of fewer than ``words`` words, have no row.
+    * Documents without an id, null or blank texts and passages, and passages of fewer than ``words`` words, have no row.
     * A document id that occurs on several rows may have a row for each; an item's deliveries count as one item.
     * Empty tables give an empty result; other columns are ignored.
 
@@ -324,7 +324,7 @@ def leaks(docs: DataFrame, key: str, text: str, held: DataFrame, item: str, pass
                 rows = _scan(shared.value, ids, texts)
                 yield pd.DataFrame(rows, columns=FOUND.names)
 
-        found = source.filter("_t is not null").mapInPandas(run, FOUND)
+        found = source.filter("_d is not null and _t is not null").mapInPandas(run, FOUND)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], FOUND)

@@ -183,14 +183,14 @@ class NearDuplicates:
 
     * Words are runs of letters and digits in lower case. A null text is empty; a text with fewer than ``size`` words
       is its own representative and has no link.
-    * ``version`` names the column that orders deliveries of one id; the last counts. Other columns are ignored.
+    * ``version`` names the column that orders deliveries of one id; the last counts. Rows without an id and other columns are ignored.
     * An empty table gives empty results.
     """
 
     def __init__(self, items: DataFrame, key: str, text: F.Column, version: str | None = None, size: int = 5, least: float = 0.8):
         self.size, self.least = size, least
         at = F.col(f"`{version}`").cast("timestamp") if version else F.lit(None).cast("timestamp")
-        source = items.select(F.col(f"`{key}`").cast("long").alias("_id"), at.alias("_at"), text.alias("_text"))
+        source = items.select(F.col(f"`{key}`").cast("long").alias("_id"), at.alias("_at"), text.alias("_text")).filter("_id is not null")
         source = source.withColumn("_v", F.struct(F.col("_at").alias("at"), F.xxhash64("_text").alias("h"))).drop("_at")
         rows = signed(source.select("_id", "_v", "_text"), size)
         rest = [c for c in rows.columns if c != "_id"]

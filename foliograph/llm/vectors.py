@@ -22,7 +22,7 @@ from foliograph.session import materialise
 #: Rows of the sample the codebooks are fitted on, at most. Every row is indexed.
 SAMPLE = 40_000
 LEVELS, WORDS, BEAM = 4, 64, 4
-PROBES = 32
+PROBES = 40
 #: Rows of a group of cells, and queries compared with them in one task.
 GROUP, QUERIES = 32_768, 65_536
 #: Queries travel as 16-bit integers, this many to one; their cosines are exact to about 1e-5.
@@ -210,11 +210,6 @@ def _compare(q, k, ids, x, codes, scale, present, begin, ends, qids, qx, probes,
             s = scores(c, a, b, qs)
             if b - a >= k and (first or (floor[qs] < -1).any()):
                 floor[qs] = np.maximum(floor[qs], np.partition(s.T, b - a - k, axis=1)[:, b - a - k])
-            elif not first:
-                # A cell with k rows above the floor raises it.
-                many = np.flatnonzero((s > floor[qs]).sum(0) >= k) if b - a >= k else []
-                if len(many):
-                    floor[qs[many]] = np.partition(s[:, many].T, b - a - k, axis=1)[:, b - a - k]
             keep(s, a, qs)
     qn, dn, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     near = s >= floor[qn] - 2 * q.margin
@@ -242,7 +237,7 @@ def _compare(q, k, ids, x, codes, scale, present, begin, ends, qids, qx, probes,
 ENCODED = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("probes", T.ArrayType(T.IntegerType()))]
 )
-HITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("id", T.LongType())])))])
+HITS = "id long, neighbour long, cosine double"
 
 
 def usable(v: str, dims: int) -> F.Column:
@@ -258,7 +253,8 @@ def usable(v: str, dims: int) -> F.Column:
 def neighbours(items: DataFrame, key: str, vector: str, version: str | None = None, k: int = 5, dims: int = 64, probes: int = PROBES) -> DataFrame:
     """For every usable vector the ``k`` most similar others by cosine: ``(id, neighbour, cosine, place)``.
 
-    * Unusable vectors (null, of another length, not finite, all zero) are neither queries nor neighbours.
+    * Unusable vectors (null, of another length, not finite, all zero) are neither queries nor neighbours; nor are
+      rows without an id.
     * ``version`` orders deliveries of one id, the last counts. Of equal cosines the smaller id goes first.
     * With fewer than ``k`` other vectors all are returned; an empty table gives an empty result.
     * The result is approximate: a query sees the rows of its ``probes`` nearest cells. In those nothing is capped.
@@ -271,7 +267,7 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
     spark = items.sparkSession
     at = F.col(f"`{version}`") if version else F.lit(0)
     rows = items.select(F.col(f"`{key}`").cast("long").alias("id"), at.alias("at"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
-    rows = rows.groupBy("id").agg(F.max(F.struct("at", "v")).alias("r")).select("id", F.col("r.v").alias("v")).filter(usable("v", dims))
+    rows = rows.filter("id is not null").groupBy("id").agg(F.max(F.struct("at", "v")).alias("r")).select("id", F.col("r.v").alias("v")).filter(usable("v", dims))
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v"))
     rows = materialise(rows, "usable")
     points = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min(F.struct("id", "v")).alias("f")).select("h1", "h2", "rep", "n", F.col("f.v").alias("v"))
@@ -320,20 +316,17 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
 
     def search(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(a):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "near": np.zeros(0, object)})
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "cosine": np.zeros(0)})
         x = np.frombuffer(b"".join(d["x"]), np.float32).reshape(len(d), -1)
         qx = unit(np.frombuffer(b"".join(a["qx"]), np.int16).reshape(len(a), -1))
         codes = np.frombuffer(b"".join(d["codes"]), np.uint8).reshape(len(d), -1)
         qids = a["qid"].to_numpy()
         n, near, cos = compare(shared.value, k, d["id"].to_numpy(), x, d["cell"].to_numpy(), codes, qids, qx, a["probes"].tolist())
-        some, begin = np.unique(n, return_index=True)
-        end = np.append(begin[1:], len(n))
-        out = [[(float(cos[i]), int(near[i])) for i in range(s, e)] for s, e in zip(begin, end)]
-        return pd.DataFrame({"id": qids[some], "near": pd.Series(out, dtype=object)})
+        return pd.DataFrame({"id": qids[n], "neighbour": near, "cosine": cos})
 
     hits = data.groupBy("g", "d", "p").cogroup(asks.groupBy("g", "d", "p")).applyInPandas(search, HITS)
     better = lambda a, b: F.when(a.cosine > b.cosine, -1).when(a.cosine < b.cosine, 1).when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0)
-    best = hits.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near")), better), 1, k).alias("near"))
+    best = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("cosine", F.col("neighbour").alias("id"))), better), 1, k).alias("near"))
     copies = points.filter("n > 1").select("h1", "h2", "rep")
     copied = materialise(rows.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "rep"), "copies")
     if copied.isEmpty():
