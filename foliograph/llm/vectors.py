@@ -324,7 +324,10 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
         n, near, cos = compare(shared.value, k, d["id"].to_numpy(), x, d["cell"].to_numpy(), codes, qids, qx, a["probes"].tolist())
         return pd.DataFrame({"id": qids[n], "neighbour": near, "cosine": cos})
 
-    hits = data.groupBy("g", "d", "p").cogroup(asks.groupBy("g", "d", "p")).applyInPandas(search, HITS)
+    # A block is heavy in computing and light in bytes, so blocks aren't put together by size: the number is stated.
+    tasks = int(4 * (blocks * parts).sum())
+    left, right = data.repartition(tasks, "g", "d", "p"), asks.repartition(tasks, "g", "d", "p")
+    hits = left.groupBy("g", "d", "p").cogroup(right.groupBy("g", "d", "p")).applyInPandas(search, HITS)
     better = lambda a, b: F.when(a.cosine > b.cosine, -1).when(a.cosine < b.cosine, 1).when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0)
     best = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("cosine", F.col("neighbour").alias("id"))), better), 1, k).alias("near"))
     copies = points.filter("n > 1").select("h1", "h2", "rep")
