@@ -24,7 +24,7 @@ SAMPLE = 40_000
 LEVELS, WORDS, BEAM = 4, 64, 4
 PROBES = 40
 #: Rows of a group of cells, and queries compared with them in one task.
-GROUP, QUERIES = 32_768, 65_536
+GROUP, QUERIES = 32_768, 32_768
 #: Queries travel as 16-bit integers, this many to one; their cosines are exact to about 1e-5.
 SHORT = 32_767
 #: Queries scored together within a task.
