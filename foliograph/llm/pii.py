@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliograph.llm import pii_forms, pii_table
 from foliograph.llm import wordcodes as wc
-from foliograph.llm.pii_table import KINDS, examples
+from foliograph.llm.pii_table import KINDS
 
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
@@ -101,7 +102,7 @@ _FITTED: list[Tagger] = []
 def tagger() -> Tagger:
     """The fitted tagger; the fit is the same in every run and is kept in the driver."""
     if not _FITTED:
-        _FITTED.append(fit(examples()))
+        _FITTED.append(fit(pii_table.examples() + pii_forms.examples()))
     return _FITTED[0]
 
 
@@ -332,7 +333,8 @@ def tidy(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
             end -= 1
         while start < end and not text[start].isalnum():
             start += 1
-        # A number goes on to the end of its run and over hyphens; two formats end in a group of their own.
+        # A number goes on to the end of its run and over hyphens; two national formats, the British insurance number and
+        # the Russian one (СНИЛС), end in a group of their own.
         more = re.compile(r"[^\W_]*(?:-\d+)*(?!\w)").match(text, end)
         end = more.end() if more else end
         last = r" [A-Z](?!\w)" if re.fullmatch(r"[A-Z]{2}(?: \d\d){3}", text[start:end]) else r" \d\d(?!\d)" if re.fullmatch(r"\d{3}-\d{3}-\d{3}", text[start:end]) else r"(?!)"

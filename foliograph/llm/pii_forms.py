@@ -1,0 +1,343 @@
+"""General sentence forms for the tagger of personal data, beside those of ``pii_table``.
+
+Forms, names, places and number formats were chosen without regard to the test documents: common names and towns of
+several countries, made-up words of random syllables, published national number formats. ``HELD`` and ``HELD_FORMS``
+have words and forms that the tagger is never fitted to; recall on them is what to expect of texts unlike the table.
+"""
+
+from __future__ import annotations
+
+import re
+
+from foliograph.llm import pii_table
+
+FIRST = "James Robert Patricia Jennifer Michael Linda David Susan Daniel Laura Thomas Sarah Kevin Emma Oliver Sophie Lukas Hannah Jürgen Sabine Miguel Lucía Javier Isabel Pierre Camille Giulia Marco Anna Piotr Katarzyna Lars Astrid Mehmet Priya Ahmed Fatima Kenji Grace Owen".split()
+LAST = (
+    "Smith Johnson Williams Brown Davis Wilson Anderson Taylor Clark Lewis Walker Hughes Edwards Morrison Fairweather Cartwright Smith-Jones Schmidt Weber Wagner Hoffmann Schwarzkopf Lindemann Fernández López Martínez "
+    "Rossi Ferrari Dubois Moreau Kowalski Nowak Jensen Nilsson Johansson Yilmaz Tanaka Nguyen Patel Okafor MacDonald Petrov Ivanov Virtanen Papadopoulos Van-Houten"
+).split()
+FIRST_RU_M = "Александр Дмитрий Алексей Андрей Михаил Николай Владимир Евгений Константин Виктор".split()
+FIRST_RU_F = "Анна Елена Наталья Светлана Ирина Татьяна Екатерина Людмила".split()
+LAST_RU = "Петров Кузнецов Смирнов Попов Васильев Соколов Михайлов Новиков Морозов Волков Козлов Лебедев Никитин Захаров Голубев Фомин Калинин Воронин".split()
+FATHER_RU = "Александров Дмитриев Николаев Михайлов Сергеев Петров Алексеев".split()
+STREETS = "Church Station High Mill Park Victoria Green_Lane Elm Maple Cedar_Hill Washington Queen King Bridge Meadow Orchard Chestnut".split()
+WAYS = "Lane St. Street Rd Road Ave Avenue Terrace Court Close Way Boulevard Drive Place".split()
+TOWNS = "Leeds Bristol Norwich Denver Portland Springfield North_Haven Lake_Geneva Newcastle St._Albans Houston Little_Rock Exeter".split()
+STREETS_DE = "Haupt Bahnhof Garten Schiller Goethe Linden Berg Kirch".split()
+WAYS_DE = "straße str. gasse weg allee platz".split()
+TOWNS_DE = "München Köln Bremen Leipzig Bad_Homburg Rostock".split()
+STREETS_ES = "Calle_Mayor Calle_de_Alcalá Paseo_de_Gracia Avenida_de_América Calle_San_Juan Plaza_de_España".split()
+TOWNS_ES = "Madrid Valencia Sevilla Las_Palmas Bilbao".split()
+STREETS_RU = "Ленина Садовая Пушкина Советская Лесная Набережная Гагарина Большая_Морская".split()
+TOWNS_RU = "Казань Мурманск Самара Нижний_Новгород Ростов-на-Дону Тверь".split()
+HOSTS = "gmail.com yahoo.com outlook.com mail.ru yandex.ru web.de correo.es example.com example.org firm.example shop.invalid lab.test".split()
+
+#: {N} any name, {M} a surname, {R} a Russian name, {D} a Russian name in the dative, {E} e-mail, {P} telephone,
+#: {I} number of a document with its word before it, {J} such a number alone, {K} a Russian one with its word,
+#: {A} address, {G} German, {S} Spanish, {U} Russian address.
+TABLE = """
+Yours sincerely,|{N}|Service Manager|Phone: {P}|Email: {E}
+Thanks and regards,|{N}|{P}
+Kind regards|{N}|{E}
+Hello {N}, thank you for your message of last week.
+Dear Mr {M}, we have received your claim.
+Mrs {M} has confirmed the delivery date.
+Ms. {M} and Mr. {M} inspected the unit together.
+According to Captain {M}, the alarm came at night.
+Chief Engineer {M} closed the valve by hand.
+The measurements were taken by {N} on board.
+{N} reported the fault and {N} repaired it.
+Prepared by: {N}, approved by: {N}.
+Contact person: {N}, telephone {P}, e-mail {E}.
+To: {N} <{E}>
+Cc: {E}; {E}
+Questions? Mail {E} or dial {P}.
+You can reach {N} at {P} during office hours.
+{N} can be reached under {E} at any time.
+Mobile: {P}; fax: {P}
+Phone number of the owner: {P}.
+My old address {E} no longer works, use {E}.
+The customer lives at {A}.
+Delivery address: {A}
+Please ship the parts to {N}, {A}.
+{N}|{A}|{P}
+The parcel for {N} was left at {A}.
+Identity verified, {I}.
+The visitor {N} showed {I} at the gate.
+{N} (born 1974, {I}) is entitled to collect the unit.
+Employee {N}, {I}, resident at {A}, {P}.
+{N};{E};{P};{J}
+{J};{N};{A}
+user: {N}|phone: {P}|doc: {J}
+fullname={N}|tel={P}|passport={J}
+Sehr geehrter Herr {M}, anbei das Angebot.
+Frau {M} hat die Teile bestellt, {I}.
+Viele Grüße|{N}|{P}
+Ansprechpartner ist {N}, erreichbar unter {P} oder {E}.
+Lieferanschrift: {N}, {G}
+Der Kunde wohnt in der {G}.
+Bitte rufen Sie {P} an.
+Estimado señor {M}: le enviamos la factura.
+Saludos cordiales,|{N}|{E}|{P}
+La señora {M} presentó {I} en recepción.
+El técnico {N} vive en {S}.
+Dirección de entrega: {S}
+Para más información, {E} o {P}.
+Уважаемый {R}, ваш заказ готов.
+Осмотр выполнил {R}.
+Капитан {M_RU} и инженер {M_RU} подписали акт.
+Главный механик {M_RU} сообщил о течи.
+Передайте документы {D} до пятницы.
+Письмо направлено {D}, ответ ждём на {E}.
+Контактное лицо: {R}, телефон {P}.
+Ответственный: {R}, почта {E}, моб. {P}
+Предъявлен {K}.
+Сотрудник {R}, {K}, проживает: {U}.
+Посылку доставить: {U}.
+Адрес получателя: {U}
+Клиент {R}, адрес {U}, тел. {P}.
+Вопросы направляйте на {E}, звонки по {P}.
+Имя: {R}|Телефон: {P}|Документ: {J_RU}
+{R};{P};{E};{J_RU}
+С наилучшими пожеланиями,|{R}|{P}|{E}
+""".strip().split("\n")
+
+#: Sentences without a mention; {o} order number, {p} part number, {v} value, {n} number, {e} engine, {s} ship, {f} firm.
+NONE = """
+Remove the {t} and check the {t} for cracks.
+Tighten the bolts of the {t} to {v} in {n} steps.
+Install a new {t} (part number {p}).
+Refer to figure {n} and to page {n4} for details.
+Caution: hot coolant can cause burns. Let the engine cool.
+WARNING: Do not open the {t} under pressure.
+Purchase order {o} lists {n} pieces of {p}.
+Your order no. {o} was shipped on 2023-11-08.
+Invoice {n8}, dated 12.05.2024, total {n4}.50
+Serial number {e}, running hours {n8}.
+Engine S/N {e} on {s}, last service at {n4} hours.
+The vessel {s} is equipped with two engines of {f}.
+{f} delivered the {t} with a certificate.
+Batch {n4}-{n4}, seal {p}, drawing {n8}.
+IP address 192.168.10.24, software version 4.2.{n}.
+Stock code {n10}, shelf {n}, quantity {n}.
+Tracking code {n4} {n4} {n4}, box {n}.
+Use Loctite sealant and a Phillips screwdriver on the {t}.
+The Diesel cycle and the Otto cycle differ in the {t}.
+Measure {v} @ {n4} rpm and compare with {v}.
+| {t} | {p} | {v} | {n} |
+{t}: {v}; {t}: {v}; limit {v}
+{n}. {W} the {t}.
+{W} - {T}
+Table {n}: {T} {W}
+{T} ({p}, {p})
+The crew, the chief engineer and the second mate were present.
+Dear customer, please contact your local dealer.
+Monday to Friday, {n}:00 to {n}:30, call our hotline.
+On 3 March 2024 the {t} failed after {n4} hours.
+Models 3516 and C{n} share the {t}.
+Снимите {r} и проверьте зазор {v}.
+Затяните болты моментом {v} в {n} приёма.
+Заказ № {o} от 14.02.2024, деталь {p}.
+Двигатель {e} на судне {s}, наработка {n4} часов.
+Экипаж и старший механик осмотрели {r}.
+Серия {n4}-{n4}, пломба {n8}, чертёж {p}.
+Накладная {n4} {n4} {n4}, место {n}.
+Внимание: {r} под давлением {v}.
+См. рисунок {n} и таблицу {n4}.
+Компания {f} поставила {r}.
+Уважаемые коллеги, обратитесь к дилеру.
+{r} | {p} | {v}
+Prüfen Sie den Ölstand bei {v}, Teil {p}.
+Der Motor {e} läuft mit {v} zu heiß.
+Bestellung {o}, Lieferung durch {f}.
+Compruebe la presión del aceite, {v}, pieza {p}.
+El motor {e} tiene una fuga en el colector.
+Pedido {o} de {f}, {n} unidades.
+""".strip().split("\n")
+THINGS = "oil pump|fuel filter|cylinder head|water pump|crankshaft|gasket|connecting rod|valve spring|air filter|starter motor|thermostat housing|alternator belt|injector nozzle|oil pan|heat exchanger|piston ring|gear cover|pressure sensor|fuel line|exhaust valve".split("|")
+THINGS_RU = "масляный насос|топливный фильтр|прокладку головки|водяной насос|клапан|поршень|коленчатый вал|датчик давления|ремень генератора|радиатор".split("|")
+SHIPS = "MV Atlantic Star|MS Queen Elizabeth|tug Hercules|barge Delta|MT Northern Light|dredger Neptune|MV Sea Breeze|Ocean Pioneer".split("|")
+FIRMS = "Acme Marine|Global Diesel Service|Baltic Shipyard|Harbor Supply Co|Nordic Power|United Engine Works|Smith and Sons Ltd".split("|")
+WORKS = "Inspect Replace Test Install Drain Clean Remove Adjust Specifications Check Lubricate Tighten Assemble Disconnect Calibration".split()
+
+#: Forms and words for measurement only.
+HELD_FORMS = """
+The night shift was led by {N}, reachable on {P}.
+Forwarded on behalf of {N}, {E}
+Witnesses: {N} and Mr {M}.
+Home address on file: {A}
+Cheers,|{N}|{P}
+Copy of {I} attached.
+Replies go to {E} and not to {P}.
+name: {N}, address: {A}, id: {J}
+Gezeichnet {N}, {G}
+Remitente: {N}, {S}
+Принял работу {R}, номер {P}.
+Акт вручён {D} лично.
+Владелец {R}, {K}, живёт {U}.
+""".strip().split("\n")
+HELD = {
+    "FIRST": "Gregory Helen Wolfgang Beatriz Sandeep Niamh Chiara Bogdan".split(),
+    "LAST": "Pemberton Hawthorne Zimmermann Navarro Lombardi Eriksson Wójcik Takahashi Abernathy".split(),
+    "FIRST_RU_M": "Григорий Станислав Юрий".split(),
+    "FIRST_RU_F": "Марина Полина Вера".split(),
+    "LAST_RU": "Зимин Рябов Тарасов Ершов".split(),
+    "FATHER_RU": "Юрьев Борисов".split(),
+    "STREETS": "Juniper Abbey Foundry Riverside".split(),
+    "TOWNS": "Swindon Tacoma Great_Yarmouth".split(),
+    "STREETS_DE": "Mozart Wiesen Ufer".split(),
+    "TOWNS_DE": "Kassel Lübeck".split(),
+    "STREETS_ES": "Calle_del_Pez Avenida_de_la_Paz".split(),
+    "TOWNS_ES": "Murcia Cádiz".split(),
+    "STREETS_RU": "Чехова Озёрная Заводская".split(),
+    "TOWNS_RU": "Пермь Калуга".split(),
+    "HOSTS": "proton.me posteo.de boat.example list.ru".split(),
+}
+
+
+#: Published forms of national and maritime documents, with words that name them.
+NUMBERS = [
+    *[(w, f) for w in ("SSN", "social security number") for f in ("###-##-####",)],
+    *[(w, f) for w in ("NI number", "National Insurance") for f in ("AA ## ## ## A", "AA######A")],
+    *[(w, f) for w in ("passport", "Passport", "Reisepass", "pasaporte") for f in ("#########", "AA#######", "A########", "AAA######")],
+    *[(w, f) for w in ("driving licence", "driver's license", "Führerschein") for f in ("AAAAA######AA#AA", "A#######", "AAA#######A##", "A##########")],
+    *[(w, f) for w in ("national ID", "ID card", "Personalausweis", "DNI") for f in ("########A", "A########", "#########")],
+    *[(w, f) for w in ("tax number", "tax ID", "Steuer-ID", "NIF") for f in ("###########", "##-#######", "########A")],
+    *[(w, f) for w in ("seaman's book", "discharge book", "seafarer's book") for f in ("AA######", "A######", "AA###-####", "AAA-######")],
+]
+NUMBERS_RU = [("паспорт", "## ## ######"), ("паспорт", "#### ######"), ("ИНН", "############"), ("ИНН", "##########"), ("СНИЛС", "###-###-### ##"), ("удостоверение", "ББ-#######"), ("паспорт моряка", "ББ #######"), ("мореходная книжка", "ББ-######"), ("водительское удостоверение", "## ## ######")]
+
+
+class General(pii_table.Maker):
+    """Fills the slots, the same way in every run; ``held`` takes the words that are never fitted to."""
+
+    def __init__(self, seed: int = 11, held: bool = False):
+        super().__init__(seed)
+        self.fit = not held
+        self.words = HELD if held else {k: globals()[k] for k in HELD}
+
+    def coined(self, russian: bool = False) -> str:
+        c, v = ("бвгдзклмнпрстфхцчшж", "аеиоуыюя") if russian else ("b c d f g h j k l m n p r s t v w z br ch dr fl gr kr pl qu sch sh st th tr".split(), "a e i o u ee ai ou".split())
+        close = ["", "", *("нрлмств" if russian else "n r l m s t ck ll nd rt".split())]
+        w = "".join(self.r.choice(c) + self.r.choice(v) + self.r.choice(close) for _ in range(self.r.randint(1, 3))).capitalize()
+        return w + (self.r.choice(["ин", "ов", "ев", "ков", "нов", "яков"]) if russian else self.r.choice("n berg ski ton sen ro son a er ell ham ley ford o us ez ich".split()))
+
+    def surname(self) -> str:
+        return self.coined() if self.r.random() < 0.5 else self.r.choice(self.words["LAST"])
+
+    def name(self) -> str:
+        first, last, i = self.r.choice(self.words["FIRST"]) if self.r.random() < 0.8 else self.coined(), self.surname(), self.r.choice("ABDEJKLMNPRSTV")
+        forms = [f"{first} {last}"] * 4 + [f"{first} {i}. {last}", f"{i}. {last}", f"{last.upper()}, {first}", f"{last}, {first}", f"{last}"]
+        return self.cased(self.r.choice(forms))
+
+    def russian(self, dative: bool = False, alone: bool = False) -> str:
+        woman = self.r.random() < 0.5
+        last = self.coined(True) if self.r.random() < 0.5 else self.r.choice(self.words["LAST_RU"])
+        first = self.r.choice(self.words["FIRST_RU_F"] if woman else self.words["FIRST_RU_M"])
+        father = self.r.choice(self.words["FATHER_RU"]) + ("на" if woman else "ич")
+        if woman:
+            last += "ой" if dative else "а"
+            first, father = (first[:-1] + "е", father[:-1] + "е") if dative else (first, father)
+        elif dative:
+            last += "у"
+            first = first[:-1] + "ю" if first[-1] == "й" else first + "у"
+            father += "у"
+        if alone:
+            return self.cased(last)
+        i, j = self.r.choice("АБВГДЕИКЛМНПРСТЮ"), self.r.choice("АБВГДЕИКЛМНПС")
+        forms = [f"{first} {last}", f"{last} {first}", f"{last} {i}. {j}.", f"{last} {i}.{j}.", f"{i}. {j}. {last}", f"{i}.{j}. {last}", f"{i}. {last}", f"{last} {first} {father}", f"{last.upper()} {first}", last]
+        return self.cased(self.r.choice(forms))
+
+    def email(self) -> str:
+        first, last = self.r.choice(self.words["FIRST"]).lower(), self.surname().lower().replace("-", "")
+        user = self.r.choice([f"{first}.{last}", f"{first}-{last}", f"{first[0]}{last}", f"{last}{self.digits(3)}", f"{last}_{first[0]}{self.digits(2)}", f"{first}+{self.coined().lower()}", f"{first}_{last}", first, last])
+        host = self.r.choice(self.words["HOSTS"]) if self.r.random() < 0.5 else f"{self.coined().lower()}{self.r.choice(['', '', '-' + self.coined().lower(), '.' + self.coined().lower()])}.{self.r.choice('com net org de ru es co.uk example test invalid'.split())}"
+        x = self.r.random()
+        if x < 0.6:
+            s = f"{user}@{host}"
+        elif x < 0.72:
+            s = f"{user} (at) {host.replace('.', ' (dot) ')}"
+        elif x < 0.84:
+            s = f"{user}[at]{host}"
+        elif x < 0.92:
+            s = f"{user} @ {host}"
+        else:
+            s = f"{user} at {host.replace('.', ' dot ')}"
+        return s.upper() if self.r.random() < 0.06 else s
+
+    def phone(self) -> str:
+        cc, area = self.r.choice("1 7 20 27 30 31 33 34 39 41 44 45 46 47 48 49 61 65 81 86 90 91 353 358 380".split()), self.r.randint(20, 999)
+        forms = f"+{cc} {area} ### ####|+{cc} {area} ######|+{cc} {area} ### ###|+{cc} {area} #### ####|+{cc} {area} #####-##|+{cc}-{area}-###-####|+{cc}{area}#######|+{cc} ({area}) ###-##-##|+{cc} ({area}) ### ####|(###) ###-####|(0##) #### ###|###-###-####|###.###.####|### ### ####|0### ######|0#### ######|0#### ### ###|0## ########|0##/#######|+7 ### ###-##-##|+7 (###) ###-##-##|+7##########|8 ### ### ## ##|8 ### ###-##-##|8 (###) ###-##-##|8(###)#######|8-###-###-##-##|8-###-###-####|8##########"
+        return "".join(self.digits(1) if c == "#" else c for c in self.r.choice(forms.split("|")))
+
+    def shaped(self, form: str) -> str:
+        """Digits for #, Latin capitals for A and Russian ones for Б."""
+        return "".join(self.digits(1) if c == "#" else self.r.choice("ABCDEFGHJKLMNPRSTWXYZ") if c == "A" else self.r.choice("АВЕКМНОРСТ") if c == "Б" else c for c in form)
+
+    def number(self) -> str:
+        return self.shaped(self.r.choice([f for _, f in NUMBERS]))
+
+    def number_ru(self) -> str:
+        return self.shaped(self.r.choice([f for _, f in NUMBERS_RU]))
+
+    def address(self) -> str:
+        street = f"{self.r.randint(1, 230)}{self.r.choice(['', '', '', 'A', 'B', 'C'])} {self.pick(self.words["STREETS"]) if self.r.random() < 0.8 else self.coined()} {self.r.choice(pii_table.WAYS)}"
+        town, flat, code = self.pick(self.words["TOWNS"]), self.r.randint(1, 40), self.digits(5)
+        s = self.r.choice([street, street, f"{street}, {town}", f"Flat {flat}, {street}, {town}", f"{street}, Apt {flat}, {town} {code}", f"{street}, {town} {code}", f"{street}, {town}, {self.shaped(self.r.choice(['AA# #AA', 'A## #AA']))}"])
+        return self.cased(s)
+
+    def address_de(self) -> str:
+        return f"{self.r.choice(self.words["STREETS_DE"])}{self.r.choice(WAYS_DE)} {self.r.randint(1, 230)}, {self.digits(5)} {self.pick(self.words['TOWNS_DE'])}"
+
+    def address_es(self) -> str:
+        return f"{self.pick(self.words["STREETS_ES"])}, {self.r.randint(1, 230)}, {self.digits(5)} {self.pick(self.words['TOWNS_ES'])}"
+
+    def address_ru(self) -> str:
+        street, town, n, flat = self.pick(self.words["STREETS_RU"]), self.pick(self.words["TOWNS_RU"]), self.r.randint(1, 230), self.r.randint(1, 60)
+        code = self.digits(6)
+        forms = [f"ул. {street}, д. {n}, кв. {flat}", f"г. {town}, ул. {street}, {n}", f"{code}, г. {town}, {street} пер., {n}", f"{street} ул., дом {n}, {town}", f"{code}, {town}, ул. {street}, дом {n}, кв. {flat}", f"г. {town}, пр. {street}, д. {n}", f"пер. {street}, {n}-{flat}"]
+        return self.cased(self.r.choice(forms))
+
+    def plain(self, slot: str) -> str:
+        r = self.r
+        own = {
+            "o": lambda: self.shaped(r.choice(["####-###-###", "########", "PO-#####", "###/####"])),
+            "p": lambda: self.shaped(r.choice(["###-####", "#A-####", "######", "##.#####-####", "A####-##"])),
+            "n10": lambda: self.digits(10),
+            "e": lambda: self.shaped(r.choice(["AAA#####", "#AA#####", "AA######", "A#######"])),
+            "s": lambda: r.choice(SHIPS),
+            "f": lambda: r.choice(FIRMS),
+            "t": lambda: r.choice(THINGS),
+            "T": lambda: r.choice(THINGS).title(),
+            "r": lambda: r.choice(THINGS_RU),
+            "W": lambda: r.choice(WORKS),
+        }
+        return own[slot]() if slot in own else super().plain(slot)
+
+    def filled(self, slot: str) -> list[tuple[str, str | None]]:
+        """Pieces ``(text, kind)`` of a slot."""
+        r = self.r
+        if slot in "IK":
+            word, form = r.choice(NUMBERS if slot == "I" else NUMBERS_RU)
+            return [(word + r.choice([" ", " ", ": ", " no. " if slot == "I" else " № "]), None), (self.shaped(form), "id_number")]
+        return super().filled(slot)
+
+    def sentence(self, template: str) -> list[tuple[str, str | None]]:
+        """A letter's end has line breaks for its bars; in some sentences made-up words stand for those around the slots."""
+        letter = " | " not in template and "=" not in template and ": {" not in template[:14]
+        out = super().sentence(template.replace("|", "\n") if letter else template)
+        if self.fit and "{I}" not in template and "{K}" not in template and self.r.random() < 0.4:
+            out = [(p if k else re.sub(r"(?<![^\W_])[^\W\d_]{4,}", self._other, p), k) for p, k in out]
+        return out
+
+    def _other(self, m: re.Match) -> str:
+        w = m.group()
+        if self.r.random() < 0.4:
+            return w
+        new = self.coined(w[0].lower() >= "а").lower()
+        return new.capitalize() if w[0].isupper() else new
+
+
+def examples(rounds: int = 12, seed: int = 23, held: bool = False) -> list[list[tuple[str, str | None]]]:
+    """Short texts as those of ``pii_table``; ``held`` gives forms and words kept for measurement."""
+    return pii_table.examples(rounds, seed, General(seed, held), HELD_FORMS if held else TABLE, NONE)
