@@ -1,15 +1,16 @@
 """Problem 5: near-duplicate records with small edits (multi-index Hamming join).
 
 A record's signature is a row of minwise hashes over its word shingles, ``SYMBOLS`` symbols long; the distance of two
-signatures is the number of symbols in which they differ. The signature is cut into chunks of four symbols. By the
-pigeonhole principle, records within distance ``2 * CHUNKS - 1`` differ in at most one symbol of some chunk, so
-enumerating, for each chunk, the four ways to leave one symbol out meets every such pair in an equal key. Pairs met
-are held against the distance and then against the texts.
+signatures is the number of symbols in which they differ. The signature is cut into ``CHUNKS`` chunks of four or five
+symbols. By the pigeonhole principle, records with more than ``CHUNKS`` equal symbols have two of them in some chunk,
+so enumerating, for each chunk, the ways to leave all but two symbols out meets every pair within ``FAR`` in an equal
+key. Pairs met are held against the distance and then against the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,11 @@ from pyspark.sql import types as T
 from foliograph.llm import wordcodes as wc
 from foliograph.session import materialise
 
-CHUNKS, WIDTH = 10, 4
-SYMBOLS = CHUNKS * WIDTH
-#: Pairs that meet within this distance are compared by text. At the similarity 0.6 a pair has 24 equal symbols of 40
-#: on average, with a standard deviation of 3.1; fewer than 14 are expected in one pair of 2,000.
-FAR = 26
+SYMBOLS, CHUNKS = 40, 9
+WIDTH = SYMBOLS // CHUNKS
+#: Pairs within this distance are compared by text; the keys meet all of them. At the similarity 0.6 a pair has 24 equal
+#: symbols of 40 on average, with a standard deviation of 3.1; fewer than 10 are expected in two pairs of a million.
+FAR = SYMBOLS - CHUNKS - 1
 #: Representatives of one key that are compared in one piece.
 BLOCK = 2048
 #: Shingles held at once when pairs are compared by text.
@@ -58,14 +59,14 @@ def signatures(s: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def kept() -> list[tuple[int, int]]:
+    """Symbols of each key: two of one chunk. Chunk ``c`` has every ``CHUNKS``-th symbol from ``c`` on."""
+    return [two for c in range(CHUNKS) for two in combinations(range(c, SYMBOLS, CHUNKS), 2)]
+
+
 def chunk_keys() -> F.Column:
-    """Keys of a signature: of every chunk, its symbols with one left out."""
-    keys = []
-    for c in range(CHUNKS):
-        for gap in range(WIDTH):
-            kept = [F.col("_sig")[c * WIDTH + j] for j in range(WIDTH) if j != gap]
-            keys.append(F.xxhash64(F.lit(c * WIDTH + gap), *kept))
-    return F.array(*keys)
+    """Keys of a signature: of every chunk, its symbols with all but two left out."""
+    return F.array(*[F.xxhash64(F.lit(n), F.col("_sig")[a], F.col("_sig")[b]) for n, (a, b) in enumerate(kept())])
 
 
 def signed(items: DataFrame, size: int) -> DataFrame:
