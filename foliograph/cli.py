@@ -32,13 +32,14 @@ def cut(spark: SparkSession, a) -> int:
     if a.pdf:
         spark.dataSource.register(files.PdfLayout)
         blocks = spark.read.format("pdf_layout").load(a.pdf)
-        drawings = spark.createDataFrame([], layout.DRAWINGS)
+        spark.dataSource.register(files.PdfDrawings)
+        drawings = spark.read.format("pdf_drawings").load(a.pdf)
     else:
         blocks, drawings = files.layout_blocks(spark, f"{a.tables}/layout_blocks"), files.layout_drawings(spark, f"{a.tables}/layout_drawings")
     _say(layout.validated(layout.heading_profile(blocks)))
-    chunks = procedures.build_chunks(layout.extract(blocks, drawings, a.first, a.last), limit=Settings().max_chunk_chars)
+    chunks = procedures.build_chunks(layout.extract(blocks, drawings, a.first, a.last), layout.page_sections(blocks), limit=Settings().max_chunk_chars)
     chunks = chunks.withColumnRenamed("doc", "filename").drop("proc", "has_warning")
-    docs = chunks.select("filename").distinct().withColumns({"serial_prefixes": F.array().cast("array<string>"), "applicable_models": F.array().cast("array<string>")})
+    docs = chunks.select("filename").distinct().join(layout.title_pages(blocks).withColumnRenamed("doc", "filename"), "filename")
     files.write_chunks(docs, chunks, a.out)
     _say(chunks.groupBy("chunk_type").count())
     return 0

@@ -18,6 +18,10 @@ GRAPHIC = r"\b(g\d{8})\b"
 PART_NUMBER = r"\b(\d{3}-\d{4}|\d[A-Z]-\d{4})\b"
 MODEL = r"\b(3[59]\d{2}[BC])\b"
 CONTROL_MODULE = r"\bADEM\s+(I{1,3}V?)\b"
+# A line of a title page for one build, "PREFIX 1-UP (…)": with a model in the brackets, and with anything. Lines end with \n alone.
+SERIAL_MODEL = r"(?md)^([A-Z0-9]{3})\s+1-UP\s+\((3\d{3}[A-Z])\)\s*$"
+SERIAL_ANY = r"(?md)^([A-Z0-9]{3})\s+1-UP\s+\([^)]+\)\s*$"
+PRODUCT_MODEL = r"\b(3\d{3}[A-Z]|C\d{1,2})\b"
 SECTION = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+Section)\b"
 MEASURE = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:kPa|psi|bar|°C|°F|N·?m|lb·?ft|lb·?in|kW|hp|rpm|L|mL|US gal|US qt|gal|qt|mm|cm|m\b|in(?:ch)?)\b"
 CITED_PAGE = r"(?:стр\.|p\.)\s*(\d+)"

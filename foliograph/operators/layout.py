@@ -254,3 +254,28 @@ def extract(blocks: DataFrame, drawings: DataFrame, first_page: int = 1, last_pa
     out = rows.select("doc", "page", "ord", "col", "region", F.explode(split).alias("e"))
     seq = F.col("page").cast("long") * 1_000_000 + F.col("ord") * 2 + F.col("e.half")
     return out.select("doc", seq.alias("seq"), "e.kind", "e.text", "page", "col", "region")
+
+
+def _page_text(blocks: DataFrame) -> DataFrame:
+    """``(doc, page, text)``: a page's lines in the order of its blocks."""
+    line = F.transform("lines", lambda x: F.concat_ws("", F.transform(x["spans"], lambda s: s["text"])))
+    rows = blocks.filter("lines is not null").groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("block_no", line.alias("t")))).alias("b"))
+    return rows.select("doc", "page", F.array_join(F.flatten(F.transform("b", lambda b: b["t"])), "\n").alias("text"))
+
+
+def title_pages(blocks: DataFrame) -> DataFrame:
+    """``(doc, serial_prefixes, applicable_models)`` of every document by its first page: prefixes in their order; models of
+    the serial lines, else those named above the first serial line. Empty lists where the page names none."""
+    x = blocks.select("doc").distinct().join(_page_text(blocks.filter("page = 1")).select("doc", "text"), "doc", "left")
+    text, at = F.coalesce("text", F.lit("")), F.regexp_instr(F.coalesce("text", F.lit("")), F.lit(ft.SERIAL_ANY))
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(ft.SERIAL_MODEL), F.lit(2)))
+    above = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    product = F.array_distinct(F.regexp_extract_all(above, F.lit(ft.PRODUCT_MODEL), F.lit(1)))
+    prefixes = F.array_distinct(F.regexp_extract_all(text, F.lit(ft.SERIAL_ANY), F.lit(1)))
+    return x.select("doc", prefixes.alias("serial_prefixes"), F.array_sort(F.when(F.size(named) > 0, named).otherwise(product)).alias("applicable_models"))
+
+
+def page_sections(blocks: DataFrame) -> DataFrame:
+    """``(doc, page, section)``: the section that a page's running header names."""
+    rows = _page_text(blocks.filter(F.col("bbox.y0") < BODY_TOP)).withColumn("section", F.regexp_extract("text", ft.SECTION, 1))
+    return rows.filter("section <> ''").select("doc", "page", "section")

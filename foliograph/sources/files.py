@@ -33,6 +33,20 @@ class PdfLayout(DataSource):
         return _PdfReader(self.options)
 
 
+class PdfDrawings(PdfLayout):
+    """``spark.read.format("pdf_drawings").load(path)``: rectangles of the drawings of the same files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pdf_drawings"
+
+    def schema(self) -> str:
+        return DRAWINGS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PdfDrawings(self.options)
+
+
 class _PdfReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -56,6 +70,19 @@ class _PdfReader(DataSourceReader):
                         yield os.path.basename(partition.value), n, i, b["type"], dict(zip(("x0", "y0", "x1", "y1"), b["bbox"])), lines or None
 
 
+class _PdfDrawings(_PdfReader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        import os
+
+        import fitz  # not part of the requirements
+
+        with fitz.open(partition.value) as doc:
+            for n, page in enumerate(doc, 1):
+                if self.first <= n <= self.last:
+                    for i, d in enumerate(page.get_drawings()):
+                        yield os.path.basename(partition.value), n, i, d["type"], *map(float, d["rect"])
+
+
 def layout_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS).json(path)
 
