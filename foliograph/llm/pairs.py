@@ -232,7 +232,7 @@ def judge(question: str | None, answer: str | None, may_refuse: bool) -> tuple[l
     stops, tail = _stops(answer)
     if stops:
         found.append("truncated")
-    return found, tail if not found else None, ends, mids
+    return found, None if stops else tail, ends, mids
 
 
 def defects(pairs: DataFrame, key: str = "result_id", question: str = "question", answer: str = "answer", may_refuse: str = "may_refuse") -> DataFrame:
