@@ -138,7 +138,7 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     near = p5_near(spark, folder)
     ends = near.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = components(near.links).select(F.col("id").alias("rep"), F.col("class"))
-    out = near.members.join(classes, "rep", "left").join(ends, "rep", "left")
+    out = near.spread(classes.join(ends, "rep"))
     return out.select("id", "rep", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

@@ -59,24 +59,26 @@ def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return codes, bounds, start, stop, np.searchsorted(start, bounds)
 
 
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.concatenate((np.ones(1, _U), np.cumprod(np.full(max(n, 1 << 20), x, _U)))) for x in (_BASE, _INVERSE)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def word_hashes(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every batch."""
+    """A 64-bit hash of each word, the same in every batch: a polynomial of its scrambled code points, from running sums
+    over the whole batch, so that words of any length cost the same per character."""
     if not len(start):
         return np.zeros(0, _U)
-    length = stop - start
-    longest = int(length.max())
-    h = length.astype(_U)
-    order = np.argsort(-length, kind="stable")
-    at, size = start[order], length[order]
-    out = h[order]
-    active = len(order)
-    for i in range(longest):
-        if active and size[active - 1] <= i:
-            active = int(np.searchsorted(-size, -i, side="left"))
-        out[:active] = (out[:active] ^ codes[at[:active] + i]) * _BASE
-        out[:active] ^= out[:active] >> _U(29)
-    h[order] = mix(out)
-    return h
+    up, down = _powers(len(codes))
+    total = np.zeros(len(codes) + 1, _U)
+    np.cumsum(mix(codes.astype(_U) + _BASE) * up, out=total[1:])
+    return mix((total[stop] - total[start]) * down[start] ^ (stop - start).astype(_U))
 
 
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

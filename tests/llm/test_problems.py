@@ -247,17 +247,6 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert empty.pairs().count() == 0 and empty.members.count() == 0
 
 
-def test_pigeonhole_meets_every_close_pair():
-    r = random.Random(8)
-    for _ in range(300):
-        a = [r.randrange(100) for _ in range(neardup.SYMBOLS)]
-        b = a[:]
-        for i in r.sample(range(neardup.SYMBOLS), 2 * neardup.CHUNKS - 1):
-            b[i] += 1
-        w = neardup.WIDTH
-        assert any(sum(x != y for x, y in zip(a[c * w : c * w + w], b[c * w : c * w + w])) <= 1 for c in range(neardup.CHUNKS))
-
-
 # 6
 
 
