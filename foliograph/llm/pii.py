@@ -1,12 +1,15 @@
 """Problem 8: personal information inside free text (linear-chain conditional random field).
 
-Every token has the features of its own form and of its neighbours'; weights are fitted to a small labelled table by the
-gradient of the likelihood, and texts are decoded by Viterbi, many stretches at a time.
+Every token has the features of its own form, of its neighbours' and of the shapes of three tokens in a row; weights are
+fitted to a labelled table by the gradient of the likelihood, and texts are decoded by Viterbi, many stretches at a time.
+``python -m foliograph.llm.pii`` fits anew and writes the weights to ``WEIGHTS``, the same in every run.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliograph.llm import pii_forms, pii_table
+from foliograph.llm import pii_table
 from foliograph.llm import wordcodes as wc
 from foliograph.llm.pii_table import KINDS
 
@@ -24,6 +27,12 @@ LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
 #: A token with the white space before it: a run of letters, a run of digits, or one other character.
 _TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\s]|$)")
+#: Features that occur less often in the table have no weight, so that made-up words and names have none of their own; nor
+#: have rare rows of three shapes.
+LEAST, LEAST_TRIPLES = 16, 6
+#: Added to the scores of labels that begin a mention: the value at which recall and precision on the held-out part of
+#: the table balance, as a mention that is missed does more harm than a word that is hidden.
+BEGIN = 1.4
 #: Tokens from a possible beginning on that are decoded with it.
 REACH = 24
 INSIDE = np.asarray([x[0] == "I" for x in LABELS])
@@ -54,14 +63,37 @@ def features(token: str) -> tuple[list[str], list[str]]:
     return near, own
 
 
+#: Shapes of a token for the rows of three; punctuation marks have a shape each.
+_MARKS = {c: i for i, c in enumerate(".,;:@()[]-/<>=|+\"'№#&_")}
+SHAPES = 128
+
+
+def shape(token: str) -> int:
+    """The number of a token's shape; one more bit tells whether it begins a line."""
+    word = token.lstrip()
+    if word[0].isdigit():
+        k = 1 + min(len(word), 8)
+    elif word[0].isalpha():
+        rest = word[1:]
+        k = 10 + (0 if not rest and word.isupper() else 1 if word.isupper() else 2 if word[0].isupper() and rest.islower() else 3 if word.islower() else 4)
+        k += 5 if word[0].lower() >= "а" else 0
+    else:
+        k = 20 + _MARKS.get(word[0], len(_MARKS))
+    line = token[0].isspace() and ("\n" in token or "\r" in token)
+    return k + (SHAPES // 2 if line else 0)
+
+
 @dataclass
 class Tagger:
     index: dict[str, int]
     weights: np.ndarray  # (offsets, features + 1, labels); the last feature is none
     trans: np.ndarray  # (labels, labels)
     start: np.ndarray
+    triples: np.ndarray  # rows of three shapes that have weights, in order
+    triple_weights: np.ndarray  # (triples + 1, labels); the last is for all others
     known: dict[str, int] = field(default_factory=dict)
     tables: list[np.ndarray] = field(default_factory=list)
+    shapes: list[np.ndarray] = field(default_factory=list)
 
     def columns(self, types: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the features of each type of token: seen by neighbours, and all."""
@@ -80,6 +112,22 @@ class Tagger:
         near, full = self.columns(types)
         return np.stack([self.weights[k][full if abs(o) < 2 else near].sum(1) for k, o in enumerate(OFFSETS)])
 
+    def rows_of_three(self, shapes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The number of the row of three around each token; beyond a text's ends there is shape 0."""
+        code = triples(shapes, owner)
+        if not len(self.triples):
+            return np.zeros(len(code), np.int64)
+        at = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
+        return np.where(self.triples[at] == code, at, len(self.triples))
+
+
+def triples(shapes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    before, after = np.zeros_like(shapes), np.zeros_like(shapes)
+    same = owner[1:] == owner[:-1]
+    before[1:][same] = shapes[:-1][same]
+    after[:-1][same] = shapes[1:][same]
+    return (before * SHAPES + shapes) * SHAPES + after
+
 
 def emissions(scores: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Scores of the labels of each token from its neighbours within the same text."""
@@ -96,16 +144,31 @@ def emissions(scores: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> np.ndar
     return out
 
 
+#: The fitted weights; made by ``python -m foliograph.llm.pii``.
+WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 _FITTED: list[Tagger] = []
 
 
-def tagger() -> Tagger:
-    """The fitted tagger; the fit is the same in every run and is kept in the driver."""
+def tagger(path: str = WEIGHTS) -> Tagger:
+    """The fitted tagger: from its file, or fitted to the table where there is none. It is kept in the driver."""
     if not _FITTED:
-        _FITTED.append(fit(pii_table.examples() + pii_forms.examples()))
+        _FITTED.append(load(path) if os.path.exists(path) else fit(pii_table.examples()))
     return _FITTED[0]
 
 
+def save(tag: Tagger, path: str = WEIGHTS) -> None:
+    """Weights in steps of 1/64, by feature, without those that are zero throughout."""
+    with open(path, "wb") as f:
+        grid = lambda x: np.clip(np.rint(x * 64), -32000, 32000).astype(np.int16)
+        np.savez_compressed(f, index="\n".join(tag.index), weights=grid(tag.weights), trans=tag.trans, start=tag.start, triples=tag.triples, triple_weights=grid(tag.triple_weights))
+
+
+def load(path: str = WEIGHTS) -> Tagger:
+    with np.load(path) as z:
+        index = {f: i for i, f in enumerate(str(z["index"]).split("\n"))}
+        return Tagger(index, z["weights"].astype(np.float32) / 64, z["trans"], z["start"], z["triples"], z["triple_weights"].astype(np.float32) / 64)
+
+
 def labelled(pieces: list[tuple[str, str | None]]) -> tuple[list[str], list[int]]:
     """Tokens of a labelled text and the numbers of their labels."""
     text = "".join(p for p, _ in pieces)
@@ -130,22 +193,33 @@ def fit(texts: list[list[tuple[str, str | None]]], rounds: int = 40, rate: float
     data.sort(key=lambda d: len(d[0]))
     types = sorted({t for toks, _ in data for t in toks})
     number = {t: i for i, t in enumerate(types)}
-    names = sorted({f for t in types for part in features(t) for f in part})
-    tag = Tagger({f: i for i, f in enumerate(names)}, np.zeros((len(OFFSETS), len(names) + 1, len(LABELS))), np.zeros((len(LABELS),) * 2), np.zeros(len(LABELS)))
-    near, full = tag.columns(types)
     ids = np.concatenate([[number[t] for t in toks] for toks, _ in data])
+    often = np.bincount(ids, minlength=len(types))
+    seen: Counter[str] = Counter()
+    for t, n in zip(types, often.tolist()):
+        for part in features(t):
+            for f in part:
+                seen[f] += n
+    names = sorted(f for f, n in seen.items() if n >= LEAST)
     gold = np.concatenate([y for _, y in data])
     lens = np.asarray([len(y) for _, y in data])
     owner = np.repeat(np.arange(len(data)), lens)
     begin = np.cumsum(lens) - lens
     pos = np.arange(len(ids)) - begin[owner]
-    size, longest, L = len(data), int(lens.max()), len(LABELS)
+    form = np.asarray([shape(t) for t in types], np.int64)[ids]
+    code, count = np.unique(triples(form, owner), return_counts=True)
+    code = code[count >= LEAST_TRIPLES]
+    L = len(LABELS)
+    tag = Tagger({f: i for i, f in enumerate(names)}, np.zeros((len(OFFSETS), len(names) + 1, L)), np.zeros((L, L)), np.zeros(L), code, np.zeros((len(code) + 1, L)))
+    near, full = tag.columns(types)
+    three = tag.rows_of_three(form, owner)
+    size, longest = len(data), int(lens.max())
     forbidden = np.zeros((L, L))
     for j, l in enumerate(LABELS):
         if l[0] == "I":
             forbidden[[i for i in range(L) if LABELS[i][2:] != l[2:]], j] = -1e4
     first = np.where([l[0] == "I" for l in LABELS], -1e4, 0.0)
-    params = [tag.weights, tag.trans, tag.start]
+    params = [tag.weights, tag.trans, tag.start, tag.triple_weights]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     true_trans = np.zeros((L, L))
     inner = owner[1:] == owner[:-1]
@@ -172,9 +246,12 @@ def fit(texts: list[list[tuple[str, str | None]]], rounds: int = 40, rate: float
     for name, cols in (("near", near), ("full", full)):
         row, col = np.nonzero(cols < len(names))
         by_feature[name] = (row, sums(cols[row, col], len(names) + 1))
+    by_triple = sums(three, len(code) + 1)
+    # Texts stand in order of length, so those that reach a position are the last ones.
+    since = np.searchsorted(lens, np.arange(longest), side="right")
     for step in range(1, rounds + 1):
         scores = np.stack([tag.weights[k][full if abs(o) < 2 else near].sum(1) for k, o in enumerate(OFFSETS)])
-        em = emissions(scores, ids, owner)
+        em = emissions(scores, ids, owner) + tag.triple_weights[three]
         em -= em.max(1, keepdims=True)
         e = np.ones((size, longest, L))
         e[owner, pos] = np.exp(em)
@@ -183,19 +260,20 @@ def fit(texts: list[list[tuple[str, str | None]]], rounds: int = 40, rate: float
         a = np.exp(tag.start + first) * e[:, 0]
         alpha[:, 0] = a / a.sum(1, keepdims=True)
         for i in range(1, longest):
-            a = (alpha[:, i - 1] @ t) * e[:, i]
-            alpha[:, i] = a / a.sum(1, keepdims=True)
+            k = since[i]
+            a = (alpha[k:, i - 1] @ t) * e[k:, i]
+            alpha[k:, i] = a / a.sum(1, keepdims=True)
         exp_trans = np.zeros((L, L))
         for i in range(longest - 1, 0, -1):
-            live = lens > i
-            m = e[:, i] * beta[:, i]
+            k = since[i]
+            m = e[k:, i] * beta[k:, i]
             b = m @ t.T
-            beta[:, i - 1] = np.where(live[:, None], b / b.sum(1, keepdims=True), 1)
-            pair = alpha[live, i - 1][:, :, None] * t * m[live][:, None, :]
-            exp_trans += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            beta[k:, i - 1] = b / b.sum(1, keepdims=True)
+            scale = 1 / ((alpha[k:, i - 1] @ t) * m).sum(1, keepdims=True)
+            exp_trans += t * ((alpha[k:, i - 1] * scale).T @ m)
         post = alpha * beta
-        post /= post.sum(2, keepdims=True)
         d = post[owner, pos]
+        d /= d.sum(1, keepdims=True)
         start_grad = d[begin].sum(0) - true_start
         d[np.arange(len(gold)), gold] -= 1
         grad_w = np.zeros_like(tag.weights)
@@ -205,8 +283,8 @@ def fit(texts: list[list[tuple[str, str | None]]], rounds: int = 40, rate: float
             grad_w[k] = gather(add(d[rows])[row])
         grad_w[:, -1] = 0
         if trace is not None:
-            trace.append(float(-np.log(np.maximum(post[owner, pos, gold], 1e-300)).mean()))
-        for p, g, (m1, m2) in zip(params, (grad_w / size, (exp_trans - true_trans) / size, start_grad / size), moments):
+            trace.append(float(-np.log(np.maximum(d[np.arange(len(gold)), gold] + 1, 1e-300)).mean()))
+        for p, g, (m1, m2) in zip(params, (grad_w / size, (exp_trans - true_trans) / size, start_grad / size, by_triple(d) / size), moments):
             g = g + decay * p
             m1 *= 0.9
             m1 += 0.1 * g
@@ -216,6 +294,7 @@ def fit(texts: list[list[tuple[str, str | None]]], rounds: int = 40, rate: float
     tag.trans = np.maximum(tag.trans + forbidden, -1e4)
     tag.start = tag.start + first
     tag.weights = tag.weights.astype(np.float32)
+    tag.triple_weights = tag.triple_weights.astype(np.float32)
     return tag
 
 
@@ -252,17 +331,19 @@ def _decode(tag: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     fresh = list({t for t in set(toks) if t not in types})
     if len(types) + len(fresh) > 400_000:
         types.clear()
-        tag.tables = []
+        tag.tables, tag.shapes = [], []
         fresh = list(set(toks))
     if fresh:
         tag.tables.append(tag.scores(fresh).astype(np.float32))
+        tag.shapes = [np.concatenate([*tag.shapes, np.asarray([shape(t) for t in fresh], np.int64)])]
         types.update(zip(fresh, range(len(types), len(types) + len(fresh))))
         if len(tag.tables) > 1:
             tag.tables = [np.concatenate(tag.tables, axis=1)]
     ids = np.fromiter(map(types.__getitem__, toks), np.int64, len(toks))
     ends = np.cumsum(np.fromiter(map(len, toks), np.int64, len(toks)))
     owner = np.repeat(np.arange(len(texts)), counts)
-    em = emissions(tag.tables[0], ids, owner)
+    em = emissions(tag.tables[0], ids, owner) + tag.triple_weights[tag.rows_of_three(tag.shapes[0][ids], owner)]
+    em[:, 1::2] += BEGIN
     # What leaving O can gain, at most: a mention begins at some token, goes on over others and ends. Where no mention that
     # begins at a token can gain anything, none begins there.
     at_line = np.fromiter((t[0] in "\n\r " and ("\n" in t or "\r" in t) for t in toks), bool, len(toks))
@@ -404,7 +485,7 @@ def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     megabytes whatever the input.
     """
     tag = tagger()
-    shared = docs.sparkSession.sparkContext.broadcast(Tagger(tag.index, tag.weights, tag.trans, tag.start))
+    shared = docs.sparkSession.sparkContext.broadcast(Tagger(tag.index, tag.weights, tag.trans, tag.start, tag.triples, tag.triple_weights))
 
     def run(cols: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in cols:
@@ -414,3 +495,7 @@ def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     udf = F.pandas_udf(run, TAGGED)
     return docs.select(F.col(f"`{key}`").alias(key), udf(F.col(f"`{text}`")).alias("_t")).select(key, "_t.*")
+
+
+if __name__ == "__main__":
+    save(fit(pii_table.examples()))
