@@ -1,7 +1,7 @@
 """From page layout (blocks with spans, drawings) to ordered elements.
 
-Blocks are rows ``(doc, page, block_no, type, bbox struct<x0,y0,x1,y1>, lines array<struct<spans array<struct<text,size,flags>>>>)``;
-type 0 is text and 1 an image. Drawings are rows ``(doc, page, seq, type, x0, y0, x1, y1)``.
+Blocks are rows ``(doc, page, block_no, type, bbox struct<x0,y0,x1,y1>, lines array<struct<spans array<struct<text,size,flags,bbox>>>>)``;
+a span's box may be null. Type 0 is text and 1 an image. Drawings are rows ``(doc, page, seq, type, x0, y0, x1, y1)``.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ BODY_TOP, BODY_BOTTOM = 60.0, 750.0
 RULE_HEIGHT, RULE_WIDTH, RULE_BELOW = 3.0, 400.0, 70.0
 BANNER_WIDTH, BANNER_HEIGHT, BANNER_GAP = (200.0, 260.0), (18.0, 36.0), 12.0
 LINE_THIN, LINE_LONG = 3.0, 12.0
-ROW_GAP, X_OVERLAP = 34.0, 5.0
+ROW_GAP, X_OVERLAP, ROW_LEAST = 34.0, 5.0, 6.0
 TABLE_HEIGHT, TABLE_WIDTH = 20.0, 60.0
 INSIDE_TABLE = 0.6
 SIZE_SLACK = 0.5
 BOLD = 16
 
-LINES = "array<struct<spans:array<struct<text:string,size:double,flags:int>>>>"
+LINES = "array<struct<spans:array<struct<text:string,size:double,flags:int,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>>>"
 BLOCKS = f"doc string, page int, block_no int, type int, bbox struct<x0:double,y0:double,x1:double,y1:double>, lines {LINES}"
 DRAWINGS = "doc string, page int, seq int, type string, x0 double, y0 double, x1 double, y1 double"
 
@@ -209,51 +209,67 @@ def in_tables(rows: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def table_grid(spans: DataFrame, regions: DataFrame, drawings: DataFrame) -> DataFrame:
-    """``(doc, page, region, table_rows)``: cells between neighbouring horizontal lines and, within a row, between the vertical
-    lines that cross it. ``spans`` are ``(doc, page, text, x0, y0, x1, y1)``; a span belongs to the cell of its middle."""
+    """``(doc, page, region, table_rows)``: rows between neighbouring horizontal lines, cells between the vertical lines that
+    cross a row's middle; the region's own left and right edge close a row, so that a table open at its sides keeps its
+    outer columns, and a row without inner lines is one cell. ``spans`` are ``(doc, page, text, x0, y0, x1, y1)``; a span belongs
+    to the cell of its middle. Lines closer than ``ROW_LEAST`` are one line drawn twice; empty rows are left out."""
     keys = ["doc", "page", "region"]
     r = regions.select(*keys, *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
     lines = drawings.filter(is_table_line()).join(r, ["doc", "page"])
     lines = lines.filter((F.col("x0") >= F.col("rx0") - 1) & (F.col("x1") <= F.col("rx1") + 1) & (F.col("y0") >= F.col("ry0") - 1) & (F.col("y1") <= F.col("ry1") + 1))
     flat = (F.col("y1") - F.col("y0")) < LINE_THIN
-    levels = lines.filter(flat).select(*keys, F.round("y0", 0).alias("top")).distinct()
+    levels = lines.filter(flat).select(*keys, "rx0", "rx1", F.round("y0", 1).alias("top")).distinct()
     w = Window.partitionBy(*keys).orderBy("top")
-    rows = levels.withColumn("bottom", F.lead("top").over(w)).filter("bottom is not null").withColumn("row", F.row_number().over(w))
-    posts = lines.filter(~flat & ((F.col("x1") - F.col("x0")) < LINE_THIN)).select(*keys, F.round("x0", 0).alias("left"), F.col("y0").alias("py0"), F.col("y1").alias("py1"))
-    crossing = rows.join(posts, keys).filter((F.col("py0") <= F.col("top") + 2) & (F.col("py1") >= F.col("bottom") - 2)).select(*keys, "row", "top", "bottom", "left").distinct()
-    v = Window.partitionBy(*keys, "row").orderBy("left")
-    cells = crossing.withColumn("right", F.lead("left").over(v)).filter("right is not null").withColumn("cell", F.row_number().over(v))
+    rows = levels.withColumn("bottom", F.lead("top").over(w)).filter(F.col("bottom") - F.col("top") >= ROW_LEAST).withColumn("row", F.row_number().over(w))
+    posts = lines.filter(~flat & ((F.col("x1") - F.col("x0")) < LINE_THIN)).select(*keys, F.round("x0", 1).alias("left"), F.col("y0").alias("py0"), F.col("y1").alias("py1"))
+    middle = (F.col("top") + F.col("bottom")) / 2
+    inner = rows.join(posts, keys).filter(middle.between(F.col("py0") - 2, F.col("py1") + 2) & (F.col("left") > F.col("rx0") + 2) & (F.col("left") < F.col("rx1") - 2))
+    inner = inner.groupBy(*keys, "row").agg(F.collect_set("left").alias("inner"))
+    edges = rows.join(inner, [*keys, "row"], "left").withColumn("xs", F.array_sort(F.array_distinct(F.concat(F.array(F.round("rx0", 1), F.round("rx1", 1)), F.coalesce("inner", F.array().cast("array<double>"))))))
+    spaces = F.transform(F.sequence(F.lit(0), F.size("xs") - 2), lambda i: F.struct(F.get("xs", i).alias("left"), F.get("xs", i + 1).alias("right")))
+    cells = edges.select(*keys, "row", "top", "bottom", F.posexplode(spaces).alias("cell", "c")).select(*keys, "row", "top", "bottom", "cell", "c.*")
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    put = cells.alias("c").join(spans.alias("s"), (F.col("c.doc") == F.col("s.doc")) & (F.col("c.page") == F.col("s.page")) & mx.between(F.col("left"), F.col("right")) & (my > F.col("top")) & (my <= F.col("bottom")), "left")
-    word = F.when(F.col("s.text").isNotNull(), F.struct(F.col("s.y0").alias("y"), F.col("s.x0").alias("x"), F.trim("s.text").alias("t")))
+    put = cells.alias("c").join(spans.alias("s"), (F.col("c.doc") == F.col("s.doc")) & (F.col("c.page") == F.col("s.page")) & (mx >= F.col("left")) & (mx < F.col("right")) & (my > F.col("top")) & (my <= F.col("bottom")), "left")
+    word = F.when(F.col("s.text").isNotNull(), F.struct(F.col("s.y0").alias("y"), F.col("s.x0").alias("x"), F.trim(F.regexp_replace("s.text", r"\s+", " ")).alias("t")))
     filled = put.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], "row", "cell").agg(F.array_sort(F.collect_list(word)).alias("l"))
     filled = filled.select(*keys, "row", F.struct("cell", F.array_join(F.transform("l", lambda e: e["t"]), " ").alias("t")).alias("c"))
     by_row = filled.groupBy(*keys, "row").agg(F.transform(F.array_sort(F.collect_list("c")), lambda e: e["t"]).alias("cells")).filter(F.exists("cells", lambda t: t != ""))
     return by_row.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda e: e["cells"]).alias("table_rows"))
 
 
+def spans(blocks: DataFrame) -> DataFrame:
+    """``(doc, page, text, x0, y0, x1, y1)`` of every span; a span without a box of its own has its block's."""
+    one = blocks.filter("lines is not null").select("doc", "page", "bbox", F.explode(F.flatten("lines.spans")).alias("s"))
+    own = "coalesce(s.bbox, bbox)" if "bbox" in blocks.schema["lines"].dataType.elementType["spans"].dataType.elementType.names else "bbox"
+    return one.select("doc", "page", "s.text", *[F.expr(f"{own}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def extract(blocks: DataFrame, drawings: DataFrame, first_page: int = 1, last_page: int | None = None) -> DataFrame:
-    """Elements ``(doc, seq, kind, text, page, col, region)`` in reading order. The heading profile is that of the whole manual,
-    whatever the range of pages. The first block in a table stands for it; the others are dropped."""
+    """Elements ``(doc, seq, kind, text, page, col, region, table_rows)`` in reading order. The heading profile is that of the whole
+    manual, whatever the range of pages. A ruled table is one element of kind table with its cells as ``table_rows``; where
+    its lines make no cells, its blocks stay as table rows with their texts."""
     profiles = materialise(heading_profile(blocks), "profiles")  # one small row per manual, read twice
     keep = F.col("page") >= first_page
     if last_page is not None:
         keep = keep & (F.col("page") <= last_page)
     rows = reading_order(text_blocks(blocks.filter(keep)))
     rows = classified(warnings_marked(rows, blocks.filter(keep), profiles), profiles)
-    rows = in_tables(rows, table_regions(drawings.filter(keep)))
+    regions = materialise(table_regions(drawings.filter(keep)), "regions")
+    rows = in_tables(rows, regions).join(table_grid(spans(blocks.filter(keep)), regions, drawings.filter(keep)), ["doc", "page", "region"], "left")
+    # The cells stand where the first block of their table does; without them every block of the table keeps its text.
     w = Window.partitionBy("doc", "page", "region").orderBy("ord")
-    rows = rows.withColumn("_n", F.when(F.col("region").isNotNull(), F.row_number().over(w))).filter("_n is null or _n = 1")
-    rows = rows.withColumn("kind", F.when(F.col("region").isNotNull(), "table_row").otherwise(F.col("kind")))
+    rows = rows.withColumn("_n", F.when(F.col("table_rows").isNotNull(), F.row_number().over(w))).filter("_n is null or _n = 1")
+    rows = rows.withColumn("kind", F.when(F.col("table_rows").isNotNull(), "table").when(F.col("region").isNotNull(), "table_row").otherwise(F.col("kind")))
+    rows = rows.withColumn("text", F.when(F.col("table_rows").isNotNull(), "").otherwise(F.col("text")))
     head = F.col("kind").isin("h1", "h2", "h3") & F.col("text").rlike(rf"(?s)^{ft.ICODE}\s+.*$")
     code = F.when(head, F.regexp_extract("text", rf"(?s)^({ft.ICODE})\s+(.*)$", 1))
     body = F.when(head, F.regexp_extract("text", rf"(?s)^({ft.ICODE})\s+(.*)$", 2)).otherwise(F.col("text"))
     body = F.when(F.col("kind").isin("h1", "h2", "h3"), ft.heading(body)).otherwise(body)
     own = F.struct(F.lit(1).alias("half"), F.col("kind").alias("kind"), body.alias("text"))
     split = F.when(code.isNotNull(), F.array(F.struct(F.lit(0).alias("half"), F.lit("icode").alias("kind"), code.alias("text")), own)).otherwise(F.array(own))
-    out = rows.select("doc", "page", "ord", "col", "region", F.explode(split).alias("e"))
+    out = rows.select("doc", "page", "ord", "col", "region", "table_rows", F.explode(split).alias("e"))
     seq = F.col("page").cast("long") * 1_000_000 + F.col("ord") * 2 + F.col("e.half")
-    return out.select("doc", seq.alias("seq"), "e.kind", "e.text", "page", "col", "region")
+    return out.select("doc", seq.alias("seq"), "e.kind", "e.text", "page", "col", "region", "table_rows")
 
 
 def _page_text(blocks: DataFrame) -> DataFrame:

@@ -154,3 +154,28 @@ def publication_gate(spark, folder):
     from foliograph.operators.quality import publication_stats
 
     return publication_stats(views.docs(spark, folder), views.chunks(spark, folder, "icode", "page_start"), ["BR9", "BN9", "KZ3"])
+
+
+# Cases of splitting: (case, kinds in order); an element's text is its number. Expected: (case, part, elements in order).
+SPLIT_CASES = [
+    ("variant_h2", "icode h1 warning para h2 step step h2 step"),
+    ("variant_h3", "icode h1 h2 h3 step h3 step step"),
+    ("header_steps", "icode h1 step h2 step h2 step"),
+    ("warn_runs", "icode h1 warning warning notice warning step"),
+    ("one_variant_without_steps", "icode h1 h2 para h2 step"),
+    ("no_heading", "icode para step"),
+]
+SPLIT_WANT = [
+    ("variant_h2", 1, "1 2 3 4 5 6"), ("variant_h2", 2, "1 2 7 8"), ("variant_h3", 1, "1 2 3 4"), ("variant_h3", 2, "1 2 5 6 7"), ("header_steps", 1, "1 2 3 4"), ("header_steps", 2, "1 5 6"),
+    ("warn_runs", 0, "1 2 3 4 5 6"), ("one_variant_without_steps", 0, "1 2 3 4 5"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {p}, '{e}')" for c, p, e in SPLIT_WANT) + ") AS t(fixture, part, elements)")
+def split_cases(spark, folder):
+    """Where procedures fall apart, on literal cases."""
+    rows = [(case, n, kind, str(n), 1) for case, kinds in SPLIT_CASES for n, kind in enumerate(kinds.split())]
+    rows = spark.createDataFrame(rows, "doc string, seq long, kind string, text string, page int")
+    cut = pr.parts(pr.procedures(rows))
+    out = cut.groupBy("doc", "part_index").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("l"))
+    return out.select(F.col("doc").alias("fixture"), F.col("part_index").alias("part"), F.array_join(F.transform("l", lambda e: e["text"]), " ").alias("elements"))

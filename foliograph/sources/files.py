@@ -66,7 +66,7 @@ class _PdfReader(DataSourceReader):
             for n, page in enumerate(doc, 1):
                 if self.first <= n <= self.last:
                     for i, b in enumerate(page.get_text("dict")["blocks"]):
-                        lines = [{"spans": [{"text": s["text"], "size": s["size"], "flags": s["flags"]} for s in x["spans"]]} for x in b.get("lines", [])]
+                        lines = [{"spans": [{"text": s["text"], "size": s["size"], "flags": s["flags"], "bbox": dict(zip(("x0", "y0", "x1", "y1"), s["bbox"])) if "bbox" in s else None} for s in x["spans"]]} for x in b.get("lines", [])]
                         yield os.path.basename(partition.value), n, i, b["type"], dict(zip(("x0", "y0", "x1", "y1"), b["bbox"])), lines or None
 
 

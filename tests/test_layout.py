@@ -91,11 +91,29 @@ def test_grid(spark):
     assert ly.table_grid(spans, ly.table_regions(d), d).first().table_rows == [["No", "Gap"], ["1", "0.4 mm"], ["2", ""]]
 
 
+def test_grid_open_at_its_sides_and_merged_head(spark):
+    """Only one inner line, none at the sides, none in the first row; a line drawn twice."""
+    d = lines(spark, *[(60, y, 300, y + 1) for y in (100, 120, 122, 140, 160)], (180, 121, 181, 161))
+    words = [("Gaps", 150, 105), ("No", 70, 128), ("Gap", 190, 128), ("1", 70, 145), ("0.4", 250, 145)]
+    spans = spark.createDataFrame([("d", 1, t, float(x), float(y), float(x + 20), float(y + 8)) for t, x, y in words], "doc string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert ly.table_grid(spans, ly.table_regions(d), d).first().table_rows == [["Gaps"], ["No", "Gap"], ["1", "0.4"]]
+
+
+def test_no_text_of_a_table_is_lost(spark):
+    blocks = [block(0, 60, 105, 110, "No"), block(1, 185, 105, 230, "Gap"), block(2, 60, 125, 110, "1"), block(3, 185, 125, 230, "0.4 mm"), block(4, 60, 145, 110, "2")]
+    got = ly.extract(frame(spark, blocks), lines(spark, *GRID)).collect()
+    assert [(g.kind, g.table_rows) for g in got] == [("table", [["No", "Gap"], ["1", "0.4 mm"], ["2", ""]])]
+    # Two vertical lines alone are a region without rows: its blocks keep their texts.
+    posts = lines(spark, (60, 100, 61, 161), (60, 100, 300, 101), (299, 100, 300, 161))
+    got = ly.extract(frame(spark, blocks), posts).orderBy("seq").collect()
+    assert [(g.kind, g.text) for g in got] == [("table_row", t) for t in ("No", "Gap", "1", "0.4 mm", "2")] or [g.kind for g in got] == ["para"] * 5
+
+
 def test_extract(spark):
     bold = ly.BOLD
     blocks = [block(0, 60, 70, 300, "i00000001 Air/ Shutoff", 15.9, bold), block(1, 60, 85, 300, "SMCS Code: 1105-040; 1106"), block(2, 60, 125, 170, "cell"), block(3, 60, 145, 170, "cell two"), block(4, 60, 200, 300, "Two", 13.9, bold), block(5, 60, 220, 300, "1. Stop."), block(6, 60, 240, 300, "Three", 12.0, bold), block(7, 60, 260, 300, "body " * 60), block(8, 60, 300, 300, "NOTICE Mind."), block(9, 60, 320, 300, "Table 3"), block(10, 60, 340, 300, "Illustration 4 g12345678")]
     got = [(g.kind, g.text) for g in ly.extract(frame(spark, blocks), lines(spark, *GRID)).orderBy("seq").collect()]
-    assert got[:4] == [("icode", "i00000001"), ("h1", "Air/Shutoff"), ("smcs", "SMCS Code: 1105-040; 1106"), ("table_row", "cell")]
+    assert got[:4] == [("icode", "i00000001"), ("h1", "Air/Shutoff"), ("smcs", "SMCS Code: 1105-040; 1106"), ("table", "")]
     assert [k for k, _ in got[4:]] == ["h2", "step", "h3", "para", "notice", "table", "illustration"]
 
 
