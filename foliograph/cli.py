@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,19 @@ def _say(df: DataFrame, n: int = 50) -> None:
     df.show(n, truncate=100)
 
 
-def cut(spark: SparkSession, a) -> int:
-    """Layout tables (or PDF files, where PyMuPDF is installed) to chunk files; prints the heading profile first."""
-    if a.pdf:
+def _layout(spark: SparkSession, a) -> tuple[DataFrame, DataFrame]:
+    """Blocks and drawings of PDF files, or the layout tables of a folder."""
+    if getattr(a, "pdf", None):
         spark.dataSource.register(files.PdfLayout)
-        blocks = spark.read.format("pdf_layout").load(a.pdf)
         spark.dataSource.register(files.PdfDrawings)
-        drawings = spark.read.format("pdf_drawings").load(a.pdf)
-    else:
-        blocks, drawings = files.layout_blocks(spark, f"{a.tables}/layout_blocks"), files.layout_drawings(spark, f"{a.tables}/layout_drawings")
+        return spark.read.format("pdf_layout").load(a.pdf), spark.read.format("pdf_drawings").load(a.pdf)
+    folder = getattr(a, "layout", None) or a.tables
+    return files.layout_blocks(spark, f"{folder}/layout_blocks"), files.layout_drawings(spark, f"{folder}/layout_drawings")
+
+
+def cut(spark: SparkSession, a) -> int:
+    """Layout tables (or PDF files, where PyMuPDF is installed) to chunk files; prints the heading profile first."""
+    blocks, drawings = _layout(spark, a)
     _say(layout.validated(layout.heading_profile(blocks)))
     chunks = procedures.build_chunks(layout.extract(blocks, drawings, a.first, a.last), layout.page_sections(blocks), limit=Settings().max_chunk_chars)
     chunks = chunks.withColumnRenamed("doc", "filename").drop("proc", "has_warning")
@@ -147,6 +152,9 @@ def verify(spark: SparkSession, a) -> int:
         "warnings without steps": quality.unattached_warnings(views.chunks(spark, a.tables, "chunk_type", "has_warning", "step_count")),
         "lost safety blocks": lost_safety_blocks(spark, a.tables),
     }
+    if a.layout or a.pdf:
+        blocks, drawings = _layout(spark, a)
+        bad |= quality.layout_invariants(layout.extract(blocks, drawings), blocks.filter(layout.is_banner() & layout.in_body()), limit=Settings().max_chunk_chars)
     n = {k: v.count() for k, v in bad.items()}
     for k, v in n.items():
         print(f"{k}: {v} violations")
@@ -154,6 +162,11 @@ def verify(spark: SparkSession, a) -> int:
 
 
 def gate(spark: SparkSession, a) -> int:
+    """Acceptance of manuals: the five checks over their pages where there is a layout, else what the tables can tell."""
+    if a.layout or a.pdf:
+        out = quality.accept(layout.page_facts(_layout(spark, a)[0]), _list(a.prefixes) or [])
+        _say(out)
+        return int(bool(out.filter("not accepted").take(1)))
     out = quality.publication_stats(views.docs(spark, a.tables), views.chunks(spark, a.tables, "icode", "page_start"), _list(a.prefixes) or [])
     _say(out)
     return int(bool(out.filter("not (prefix_ok and density_ok)").take(1)))
@@ -165,7 +178,7 @@ def parser() -> argparse.ArgumentParser:
 
     def add(f, *options: tuple[str, dict]) -> None:
         c = sub.add_parser(f.__name__, help=f.__doc__)
-        c.add_argument("--tables", default="/root/testdata/sf0.001")
+        c.add_argument("--tables", default=os.environ.get("FOLIOGRAPH_TABLES", "tables"))
         for names, kw in options:
             c.add_argument(*names.split(), **kw)
         c.set_defaults(run=f)
@@ -179,8 +192,8 @@ def parser() -> argparse.ArgumentParser:
     add(ranks, ("--out", {"required": True}))
     add(lab, ("--arm", {}))
     add(families, ("--models -m", {}))
-    add(verify)
-    add(gate, ("--prefixes", {}))
+    add(verify, ("--layout", {}), ("--pdf", {}))
+    add(gate, ("--prefixes", {}), ("--layout", {}), ("--pdf", {}))
     return p
 
 

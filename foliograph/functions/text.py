@@ -20,6 +20,9 @@ MODEL = r"\b(3[59]\d{2}[BC])\b"
 CONTROL_MODULE = r"\bADEM\s+(I{1,3}V?)\b"
 # A line of a title page for one build, "PREFIX 1-UP (…)": with a model in the brackets, and with anything. Lines end with \n alone.
 SERIAL_MODEL = r"(?md)^([A-Z0-9]{3})\s+1-UP\s+\((3\d{3}[A-Z])\)\s*$"
+# Codes of publications and serial prefixes of the acceptance gate.
+PUBLICATION = r"\b(?:SEBU|SENR|RENR|UENR|KENR|SEBF|REHS|SEHS|PEHP)\d{4}(?:-\d{2})?\b"
+PREFIX_UP = r"\b([A-Z0-9]{3})\d?1?\s?-\s?[Uu][Pp]\b"
 SERIAL_ANY = r"(?md)^([A-Z0-9]{3})\s+1-UP\s+\([^)]+\)\s*$"
 PRODUCT_MODEL = r"\b(3\d{3}[A-Z]|C\d{1,2})\b"
 SECTION = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+Section)\b"

@@ -32,7 +32,16 @@ def sparse_index(weights: str, vocabulary: int = 250_002) -> Column:
     return F.transform_keys(kept, lambda k, w: k.try_cast("int") + 1)
 
 
+def eight_digits(x: Column) -> Column:
+    """A number with eight significant digits and no closing zeros; with an exponent below 1e-4 and from 1e8 on."""
+    e = F.format_string("%.7e", x)
+    power = F.substring_index(e, "e", -1).cast("int")
+    plain = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(7 - power, F.lit(0)).cast("string"), F.lit("f")), x)
+    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    return F.when((power < -4) | (power >= 8), F.regexp_replace(e, r"\.?0+e", "e")).otherwise(plain)
+
+
 def sparse_literal(weights: str, dims: int = 250_002) -> Column:
-    """``{index:weight,...}/dims``, sorted by index, weights with six decimals."""
+    """``{index:weight,...}/dims``, sorted by index, weights with eight significant digits."""
     items = F.array_sort(F.map_entries(weights))
-    return F.concat(F.lit("{"), F.array_join(F.transform(items, lambda e: F.format_string("%d:%.6f", e["key"], e["value"].cast("double"))), ","), F.lit(f"}}/{dims}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(items, lambda e: F.concat(e["key"].cast("string"), F.lit(":"), eight_digits(e["value"].cast("double")))), ","), F.lit(f"}}/{dims}"))

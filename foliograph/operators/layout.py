@@ -295,3 +295,12 @@ def page_sections(blocks: DataFrame) -> DataFrame:
     """``(doc, page, section)``: the section that a page's running header names."""
     rows = _page_text(blocks.filter(F.col("bbox.y0") < BODY_TOP)).withColumn("section", F.regexp_extract("text", ft.SECTION, 1))
     return rows.filter("section <> ''").select("doc", "page", "section")
+
+
+def page_facts(blocks: DataFrame) -> DataFrame:
+    """``(doc, page, icodes, footer_code, prefixes)`` of every page, as the acceptance gate takes them."""
+    pages = blocks.select("doc", "page").distinct().join(_page_text(blocks), ["doc", "page"], "left").withColumn("t", F.coalesce("text", F.lit("")))
+    code = F.regexp_extract("t", ft.PUBLICATION, 0)
+    return pages.select(
+        "doc", "page", F.array_distinct(F.regexp_extract_all("t", F.lit(ft.ICODE), F.lit(0))).alias("icodes"), F.when(code != "", code).alias("footer_code"), F.array_distinct(F.regexp_extract_all("t", F.lit(ft.PREFIX_UP), F.lit(1))).alias("prefixes")
+    )

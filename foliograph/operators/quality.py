@@ -34,17 +34,12 @@ def captions_alone(rows: DataFrame) -> DataFrame:
 
     ``rows`` have ``caption`` and ``content`` flags; barriers are headings and captions.
     """
-    w = Window.partitionBy("doc", "proc").orderBy("seq")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # Both frames grow row by row, the second from the end, so the cost is linear in a procedure.
+    w = Window.partitionBy("doc", "proc")
+    back, ahead = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("seq"), F.col("seq").desc()))
     wall = F.col("kind").isin("h1", "h2", "h3") | F.col("caption")
-    x = rows.withColumns(
-        {
-            "_wb": F.max(F.when(wall, F.col("seq"))).over(back),
-            "_cb": F.max(F.when(F.col("content"), F.col("seq"))).over(back),
-            "_wa": F.min(F.when(wall, F.col("seq"))).over(ahead),
-            "_ca": F.min(F.when(F.col("content"), F.col("seq"))).over(ahead),
-        }
-    )
+    x = rows.withColumns({"_wb": F.max(F.when(wall, F.col("seq"))).over(back), "_cb": F.max(F.when(F.col("content"), F.col("seq"))).over(back)})
+    x = x.withColumns({"_wa": F.min(F.when(wall, F.col("seq"))).over(ahead), "_ca": F.min(F.when(F.col("content"), F.col("seq"))).over(ahead)})
     near = (F.col("_cb").isNotNull() & (F.col("_wb").isNull() | (F.col("_cb") > F.col("_wb")))) | (F.col("_ca").isNotNull() & (F.col("_wa").isNull() | (F.col("_ca") < F.col("_wa"))))
     return x.filter(F.col("caption") & ~near).drop("_wb", "_cb", "_wa", "_ca")
 
@@ -82,3 +77,17 @@ def accept(pages: DataFrame, vessel: list[str]) -> DataFrame:
         }
     )
     return x.withColumn("accepted", F.col("pages_ok") & F.col("density_ok") & F.col("footer_ok") & F.col("code_ok") & F.col("prefix_ok"))
+
+
+def layout_invariants(elements: DataFrame, banners: DataFrame, **kw) -> dict[str, DataFrame]:
+    """Violations that show only beside the layout: tables in several parts, captions alone, warning banners without a block."""
+    from foliograph.operators import procedures as pr
+
+    rows = pr.procedures(elements).withColumn("doc", F.col("doc").cast("string"))
+    runs = pr.table_runs(rows)
+    cut = pr.parts(rows, **kw).filter(F.col("kind").isin(*pr.TABLES)).select("doc", "proc", "part_index", "src")
+    placed = cut.join(runs, ["doc", "proc"]).filter(F.col("src").between(F.col("first_seq"), F.col("last_seq")))
+    caption = (F.col("kind") == "table") & F.col("table_rows").isNull()
+    flagged = rows.withColumn("caption", caption).withColumn("content", F.col("kind").isin(*pr.TABLES) & ~caption)
+    blocks = pr.safety_blocks(rows).groupBy("doc").agg(F.collect_list(F.struct("type", "text")).alias("safety_blocks"))
+    return {"split tables": split_tables(placed), "captions alone": captions_alone(flagged), "banners without warning": warning_coverage(banners, blocks).filter("not ok")}

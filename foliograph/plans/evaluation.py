@@ -12,8 +12,6 @@ from foliograph.plans.views import ASKS, CHUNKS, DOCS, RESULTS, with_
 from foliograph.sources.tables import table
 
 TARGETS = "tgt AS (SELECT DISTINCT g.id AS qid, c.id AS chunk_id FROM (SELECT id, target_chunk.doc AS doc, target_chunk.heading_startswith AS h, target_chunk.content_contains AS t, target_chunk.control_module AS m FROM golden_set WHERE target_chunk IS NOT NULL) g JOIN docs d ON d.filename = g.doc JOIN chk c ON c.doc_id = d.id WHERE (g.h IS NULL OR starts_with(c.heading, g.h)) AND (g.t IS NULL OR contains(c.content, g.t)) AND (g.m IS NULL OR c.control_module = g.m))"
-#: Any chunk under the target's heading counts, in whichever manual; exact targets are rare among the asked candidates.
-ALIKE = "tgt AS (SELECT DISTINCT g.id AS qid, c.id AS chunk_id FROM golden_set g JOIN chk c ON starts_with(c.heading, g.target_chunk.heading_startswith))"
 HITS = "hits AS (SELECT DISTINCT a.ask_id, t.chunk_id FROM asks a JOIN tgt t ON t.qid = a.qid)"
 RANKS = "rk AS (SELECT * FROM (SELECT ask_id, chunk_id, 'dense' AS branch, dense AS score, row_number() OVER (PARTITION BY ask_id ORDER BY dense DESC, chunk_id) AS rank FROM asks WHERE dense IS NOT NULL UNION ALL SELECT ask_id, chunk_id, 'sparse', sparse, row_number() OVER (PARTITION BY ask_id ORDER BY sparse DESC, chunk_id) FROM asks WHERE sparse > 0 UNION ALL SELECT ask_id, chunk_id, 'rrf', rrf_score, row_number() OVER (PARTITION BY ask_id ORDER BY rrf_score DESC, chunk_id) FROM asks WHERE rrf_score IS NOT NULL UNION ALL SELECT ask_id, chunk_id, 'rerank', rerank, row_number() OVER (PARTITION BY ask_id ORDER BY rerank DESC, chunk_id) FROM asks WHERE rerank IS NOT NULL) WHERE rank <= 50)"
 BEST = "best AS (SELECT r.ask_id, r.branch, min(r.rank) AS best FROM rk r JOIN hits h ON h.ask_id = r.ask_id AND h.chunk_id = r.chunk_id GROUP BY 1, 2)"
@@ -24,18 +22,12 @@ def _targets(spark, folder):
     return evaluate.targets(table(spark, folder, "golden_set"), views.chunks(spark, folder, "heading", "content", "control_module"), views.docs(spark, folder))
 
 
-def _alike(spark, folder):
-    part = F.struct(F.lit(None).cast("string").alias("doc"), F.col("target_chunk.heading_startswith").alias("heading_startswith"), F.lit(None).cast("string").alias("content_contains"), F.lit(None).cast("string").alias("control_module"))
-    golden = table(spark, folder, "golden_set").withColumn("target_chunk", part)
-    return evaluate.targets(golden, views.chunks(spark, folder, "heading", "content", "control_module"), views.docs(spark, folder))
-
-
 def _asked(asks):
     return asks.select("ask_id", "qid", "arm").distinct()
 
 
 def _hits(spark, folder, asks):
-    return _asked(asks).join(_alike(spark, folder), "qid").select("ask_id", "chunk_id").distinct()
+    return _asked(asks).join(_targets(spark, folder), "qid").select("ask_id", "chunk_id").distinct()
 
 
 def _ranks(asks):
@@ -69,17 +61,17 @@ def rank_lists_nonzero(spark, folder):
     return ranks.filter("srz is not null").select("ask_id", "chunk_id", "srz")
 
 
-@query(with_(DOCS, CHUNKS, ASKS, ALIKE, HITS, RANKS, BEST) + "SELECT ask_id, branch, best FROM best")
+@query(with_(DOCS, CHUNKS, ASKS, TARGETS, HITS, RANKS, BEST) + "SELECT ask_id, branch, best FROM best")
 def target_best_rank(spark, folder):
     asks = views.asks(spark, folder)
     return evaluate.best_ranks(_ranks(asks), _hits(spark, folder, asks))
 
 
-@query(with_(DOCS, CHUNKS, ASKS, ALIKE, HITS, RANKS, BEST, REACH) + "SELECT r.arm, b.branch, count(*) AS n, count(*) FILTER (WHERE x.best = 1) AS first, count(*) FILTER (WHERE x.best <= 6) AS in_top, count(*) FILTER (WHERE x.best IS NULL) AS missing, round(sum(coalesce(1.0::DOUBLE / x.best, 0)) / count(*), 6) AS mrr FROM reach r CROSS JOIN (VALUES ('dense'), ('sparse'), ('rrf'), ('rerank')) b(branch) LEFT JOIN best x ON x.ask_id = r.ask_id AND x.branch = b.branch GROUP BY 1, 2")
+@query(with_(DOCS, CHUNKS, ASKS, TARGETS, HITS, RANKS, BEST, REACH) + "SELECT r.arm, b.branch, count(*) AS n, count(*) FILTER (WHERE x.best = 1) AS first, count(*) FILTER (WHERE x.best <= 6) AS in_top, count(*) FILTER (WHERE x.best IS NULL) AS missing, round(sum(coalesce(1.0::DOUBLE / x.best, 0)) / count(*), 6) AS mrr FROM reach r CROSS JOIN (VALUES ('dense'), ('sparse'), ('rrf'), ('rerank')) b(branch) LEFT JOIN best x ON x.ask_id = r.ask_id AND x.branch = b.branch GROUP BY 1, 2")
 def eval_mrr(spark, folder):
     asks = views.asks(spark, folder)
     best = evaluate.best_ranks(_ranks(asks), _hits(spark, folder, asks))
-    reach = _asked(asks).join(_alike(spark, folder).select("qid").distinct(), "qid", "left_semi")
+    reach = _asked(asks).join(_targets(spark, folder).select("qid").distinct(), "qid", "left_semi")
     rows = reach.withColumn("branch", F.explode(F.array(*[F.lit(b) for b in ("dense", "sparse", "rrf", "rerank")]))).join(best, ["ask_id", "branch"], "left")
     return evaluate.retrieval_metrics(rows, ["arm", "branch"])
 
@@ -97,14 +89,14 @@ lab AS (SELECT variant, kind, k, miss, ws, ask_id, chunk_id, dr, CASE WHEN drop_
 scored AS (SELECT *, round(CASE kind WHEN 'impute' THEN 1.0::DOUBLE / (k + coalesce(dr, miss)) + 1.0::DOUBLE / (k + coalesce(r, miss)) WHEN 'max' THEN greatest(coalesce(1.0::DOUBLE / (k + dr), 0), coalesce(ws / (k + r), 0)) ELSE coalesce(1.0::DOUBLE / (k + dr), 0) + coalesce(ws / (k + r), 0) END, 12) AS score FROM lab WHERE dr IS NOT NULL OR r IS NOT NULL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY variant, ask_id ORDER BY score DESC, dr NULLS LAST, r NULLS LAST) AS place FROM scored),
 labbest AS (SELECT v.variant, e.ask_id, e.arm, e.category, min(CASE WHEN h.chunk_id IS NOT NULL THEN p.place END) AS best FROM reach e CROSS JOIN var v LEFT JOIN placed p ON p.variant = v.variant AND p.ask_id = e.ask_id LEFT JOIN hits h ON h.ask_id = p.ask_id AND h.chunk_id = p.chunk_id GROUP BY 1, 2, 3, 4)"""
-LABBED = with_(DOCS, CHUNKS, ASKS, ALIKE, HITS, REACH, LAB)
+LABBED = with_(DOCS, CHUNKS, ASKS, TARGETS, HITS, REACH, LAB)
 
 
 def _lab(spark, folder):
     asks = views.asks(spark, folder)
     ranks = fusionlab.branch_ranks(asks, "ask_id", "dense", "sparse", "chunk_id")
     places = fusionlab.fused(ranks, "ask_id", "chunk_id")
-    found = _alike(spark, folder)
+    found = _targets(spark, folder)
     category = table(spark, folder, "golden_set").select(F.col("id").alias("qid"), "category")
     reach = _asked(asks).join(found.select("qid").distinct(), "qid", "left_semi").join(category, "qid")
     best = fusionlab.target_ranks(places, _hits(spark, folder, asks), reach, "ask_id", "chunk_id")
@@ -131,7 +123,7 @@ def least_rrf_top_k(spark, folder):
 TRACE = "SELECT k.ask_id, k.chunk_id, max(CASE WHEN branch = 'dense' THEN rank END) AS dense_rank, max(CASE WHEN branch = 'sparse' THEN rank END) AS sparse_rank, max(CASE WHEN branch = 'rrf' THEN rank END) AS rrf_rank, max(CASE WHEN branch = 'rerank' THEN rank END) AS rerank_rank, round(1.0::DOUBLE / (60 + coalesce(max(CASE WHEN branch = 'dense' THEN rank END), 51)) + 1.0::DOUBLE / (60 + coalesce(max(CASE WHEN branch = 'sparse' THEN rank END), 51)), 9) AS contribution FROM rk k JOIN hits h ON h.ask_id = k.ask_id AND h.chunk_id = k.chunk_id GROUP BY 1, 2"
 
 
-@query(with_(DOCS, CHUNKS, ASKS, ALIKE, HITS, RANKS) + TRACE)
+@query(with_(DOCS, CHUNKS, ASKS, TARGETS, HITS, RANKS) + TRACE)
 def stage_trace(spark, folder):
     """Where each target stands in each stage; a branch that misses it contributes as if at rank 51."""
     asks = views.asks(spark, folder)
@@ -151,12 +143,12 @@ def _rivals(spark, folder, hits):
     return near.join(hits, ["ask_id", "chunk_id"], "left_anti")
 
 
-@query(with_(DOCS, CHUNKS, ASKS, ALIKE, HITS, RIVALS) + "SELECT ask_id, chunk_id FROM riv")
+@query(with_(DOCS, CHUNKS, ASKS, TARGETS, HITS, RIVALS) + "SELECT ask_id, chunk_id FROM riv")
 def variant_rivals(spark, folder):
     return _rivals(spark, folder, _hits(spark, folder, views.asks(spark, folder)))
 
 
-@query(with_(DOCS, CHUNKS, ASKS, ALIKE, HITS, RIVALS) + "SELECT a.ask_id, max(CASE WHEN k.own THEN rerank END) AS right_score, max(CASE WHEN NOT k.own THEN rerank END) AS rival_score, round(max(CASE WHEN k.own THEN rerank END) - max(CASE WHEN NOT k.own THEN rerank END), 6) AS gap FROM asks a JOIN (SELECT *, true AS own FROM hits UNION ALL SELECT *, false FROM riv) k ON k.ask_id = a.ask_id AND k.chunk_id = a.chunk_id GROUP BY 1")
+@query(with_(DOCS, CHUNKS, ASKS, TARGETS, HITS, RIVALS) + "SELECT a.ask_id, max(CASE WHEN k.own THEN rerank END) AS right_score, max(CASE WHEN NOT k.own THEN rerank END) AS rival_score, round(max(CASE WHEN k.own THEN rerank END) - max(CASE WHEN NOT k.own THEN rerank END), 6) AS gap FROM asks a JOIN (SELECT *, true AS own FROM hits UNION ALL SELECT *, false FROM riv) k ON k.ask_id = a.ask_id AND k.chunk_id = a.chunk_id GROUP BY 1")
 def variant_gap(spark, folder):
     asks = views.asks(spark, folder)
     hits = _hits(spark, folder, asks)

@@ -24,8 +24,8 @@ ORDER = "ro AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY ban
 def _blocks(spark, folder):
     d = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     box = F.struct(F.expr(X0).cast("double").alias("x0"), F.expr(Y0).cast("double").alias("y0"), F.expr(X1).cast("double").alias("x1"), (F.expr(Y0).cast("double") + 20.0).alias("y1"))
-    span = F.struct(F.concat(F.expr(TEXT), F.col("line")).alias("text"), F.expr(SIZE).cast("double").alias("size"), F.when(F.expr(BOLD), 16).otherwise(0).alias("flags"))
-    text = d.select(F.col("doc_id").cast("string").alias("doc"), (1 + F.floor(F.col("n") / 20)).cast("int").alias("page"), F.col("n").alias("block_no"), F.lit(0).alias("type"), box.alias("bbox"), F.array(F.struct(F.array(span).alias("spans"))).alias("lines"))
+    span = F.struct(F.concat(F.expr(TEXT), F.col("line")).alias("text"), F.expr(SIZE).cast("double").alias("size"), F.when(F.expr(BOLD), 16).otherwise(0).alias("flags"), F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("bbox"))
+    text = d.select(F.col("doc_id").cast("string").alias("doc"), (1 + F.floor(F.col("n") / 20)).cast("int").alias("page"), F.col("n").alias("block_no"), F.lit(0).alias("type"), box.alias("bbox"), F.array(F.struct(F.array(span).alias("spans"))).cast(ly.LINES).alias("lines"))
     # A banner 5 points above every line whose number leaves 3 of 15.
     at = F.struct(F.expr(X0).cast("double").alias("x0"), (F.expr(Y0).cast("double") - 31.0).alias("y0"), (F.expr(X0).cast("double") + 234.0).alias("x1"), (F.expr(Y0).cast("double") - 5.0).alias("y1"))
     banner = d.filter("n % 15 = 3").select(F.col("doc_id").cast("string").alias("doc"), (1 + F.floor(F.col("n") / 20)).cast("int").alias("page"), (F.col("n") + 100_000).alias("block_no"), F.lit(1).alias("type"), at.alias("bbox"), F.lit(None).cast(ly.LINES).alias("lines"))

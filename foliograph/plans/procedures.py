@@ -142,11 +142,16 @@ def warning_attachment(spark, folder):
     return unattached_warnings(views.chunks(spark, folder, "chunk_type", "has_warning", "step_count")).select("id", "chunk_type", "step_count")
 
 
-@query(with_(CHUNKS) + "SELECT id, has_warning, len(list_filter(coalesce(safety_blocks, []), lambda b: b.type = 'WARNING')) > 0 AS found FROM chk WHERE has_warning <> (len(list_filter(coalesce(safety_blocks, []), lambda b: b.type = 'WARNING')) > 0)")
+@query(
+    with_(CHUNKS)
+    + "SELECT id, doc_id, part_index FROM (SELECT id, doc_id, part_index, len(coalesce(safety_blocks, [])) AS own, max(len(coalesce(safety_blocks, []))) OVER (PARTITION BY doc_id, heading, icode) AS most FROM chk WHERE part_index > 0) WHERE own = 0 AND most > 0"
+)
 def lost_safety_blocks(spark, folder):
-    x = views.chunks(spark, folder, "has_warning", "safety_blocks")
-    found = F.exists(F.coalesce("safety_blocks", F.array().cast("array<struct<type:string,text:string>>")), lambda b: b["type"] == "WARNING")
-    return x.withColumn("found", found).filter("has_warning <> found").select("id", "has_warning", "found")
+    """Parts without safety blocks whose sibling parts (same manual, heading and code) have some."""
+    x = views.chunks(spark, folder, "heading", "icode", "part_index", "safety_blocks").filter("part_index > 0").select("id", "doc_id", "heading", "icode", "part_index", (F.coalesce(F.size("safety_blocks"), F.lit(0)) > 0).alias("_own"))
+    some = x.groupBy("doc_id", "heading", "icode").agg(F.bool_or("_own").alias("_some")).filter("_some")
+    lost = x.filter("not _own").alias("x").join(some.alias("s"), (F.col("x.doc_id") == F.col("s.doc_id")) & F.col("x.heading").eqNullSafe(F.col("s.heading")) & F.col("x.icode").eqNullSafe(F.col("s.icode")), "left_semi")
+    return lost.select("id", "doc_id", "part_index")
 
 
 @query(with_(DOCS, CHUNKS) + "SELECT d.id AS doc_id, count(DISTINCT c.icode) AS icodes, count(DISTINCT c.page_start) AS pages, round(count(DISTINCT c.icode)::DOUBLE / count(DISTINCT c.page_start), 6) AS density, len(d.serial_prefixes) = 0 OR len(list_intersect(d.serial_prefixes, ['BR9', 'BN9', 'KZ3'])) > 0 AS prefix_ok, count(DISTINCT c.icode)::DOUBLE / count(DISTINCT c.page_start) >= 0.35 AS density_ok FROM docs d JOIN chk c ON c.doc_id = d.id GROUP BY d.id, d.serial_prefixes")
@@ -179,3 +184,36 @@ def split_cases(spark, folder):
     cut = pr.parts(pr.procedures(rows))
     out = cut.groupBy("doc", "part_index").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("l"))
     return out.select(F.col("doc").alias("fixture"), F.col("part_index").alias("part"), F.array_join(F.transform("l", lambda e: e["text"]), " ").alias("elements"))
+
+
+# Cases of the gate: (manual, pages, pages with a code, pages with the footer, prefixes). Expected: (manual, accepted).
+GATE_CASES = [("good", 24, 20, 24, ["BR9"]), ("universal", 24, 20, 24, []), ("short", 12, 12, 12, ["BR9"]), ("sparse", 24, 3, 24, ["BR9"]), ("footer", 24, 20, 12, ["BR9"]), ("nameless", 24, 20, 0, ["BR9"]), ("foreign", 24, 20, 24, ["ZZ1"])]
+GATE_WANT = ", ".join(f"('{m}', {'true' if m in ('good', 'universal') else 'false'})" for m, *_ in GATE_CASES)
+
+
+@query(f"SELECT * FROM (VALUES {GATE_WANT}) AS t(doc, accepted)")
+def gate_cases(spark, folder):
+    """The five checks of the acceptance gate, one manual failing each."""
+    from foliograph.operators.quality import accept
+
+    rows = [(m, p, [f"i{p:08}"] if p < codes else [], "SEBU0001" if p < footer else None, prefixes) for m, pages, codes, footer, prefixes in GATE_CASES for p in range(pages)]
+    pages = spark.createDataFrame(rows, "doc string, page int, icodes array<string>, footer_code string, prefixes array<string>")
+    return accept(pages, ["BR9", "BN9", "KZ3"]).select("doc", "accepted")
+
+
+# Cases of the invariants: kinds in order; a star marks a caption or a table with cells.
+INVARIANT_CASES = [("whole", "icode h1 table table_row step"), ("alone", "icode h1 table para step"), ("behind", "icode h1 table_row table step"), ("walled", "icode h1 table h2 table_row step")]
+
+
+@query("SELECT * FROM (VALUES ('alone', 'captions alone', 2), ('walled', 'captions alone', 2), ('', 'banners without warning', 0)) AS t(fixture, violation, seq)")
+def invariant_cases(spark, folder):
+    """Captions without a table, tables in several parts and banners without a block, on literal cases."""
+    from foliograph.operators.quality import layout_invariants
+
+    rows = [(case, n, kind, f"Table {n}" if kind == "table" else str(n), 1) for case, kinds in INVARIANT_CASES for n, kind in enumerate(kinds.split())]
+    rows = spark.createDataFrame(rows, "doc string, seq long, kind string, text string, page int").withColumn("table_rows", F.lit(None).cast("array<array<string>>"))
+    bad = layout_invariants(rows, spark.range(1).select(F.lit("whole").alias("doc")))
+    shape = lambda df, name, doc, seq: df.select(doc.alias("fixture"), F.lit(name).alias("violation"), seq.cast("int").alias("seq"))
+    out = shape(bad["captions alone"], "captions alone", F.col("doc"), F.col("seq"))
+    out = out.unionByName(shape(bad["split tables"], "split tables", F.col("doc"), F.col("run")))
+    return out.unionByName(shape(bad["banners without warning"], "banners without warning", F.lit(""), F.lit(0)))

@@ -113,7 +113,7 @@ def hybrid_retrieve_details(spark, folder):
     return found.join(docs, "doc_id").drop("doc_id")
 
 
-@query(with_(CHUNKS, POST) + "SELECT id, '{' || array_to_string(list_transform(list_sort(list((token + 1, weight))), lambda e: printf('%d:%.6f', e[1], e[2])), ',') || '}/250002' AS literal FROM post WHERE token BETWEEN 0 AND 250001 GROUP BY id")
+@query(with_(CHUNKS, POST) + "SELECT id, '{' || array_to_string(list_transform(list_sort(list((token + 1, weight))), lambda e: printf('%d:%.8g', e[1], e[2])), ',') || '}/250002' AS literal FROM post WHERE token BETWEEN 0 AND 250001 GROUP BY id")
 def sparse_literal(spark, folder):
     rows = views.chunks(spark, folder, "embedding_sparse").filter(F.size("embedding_sparse") > 0)
     return rows.select("id", fv.sparse_index("embedding_sparse").alias("m")).filter(F.size("m") > 0).select("id", fv.sparse_literal("m").alias("literal"))

@@ -104,9 +104,9 @@ def _top(spark, folder, n: int, *columns: str):
     return top.join(rows, top["chunk_id"] == rows["id"])
 
 
-@query(with_(DOCS, CHUNKS, ASKS, TOP.format(n=3)) + f"SELECT t.ask_id, md5(string_agg('--- Fragment ' || t.place || ' — SOURCE [' || {PUB} || ', ' || {CITE} || '] — ' || coalesce(c.heading, '') || ' ---' || chr(10) || coalesce(c.content, '') || chr(10), chr(10) ORDER BY t.place)) AS context_md5 FROM top t JOIN chk c ON c.id = t.chunk_id JOIN docs d ON d.id = c.doc_id GROUP BY 1")
+@query(with_(DOCS, CHUNKS, ASKS, TOP.format(n=6)) + f"SELECT t.ask_id, md5(string_agg('--- Fragment ' || t.place || ' — SOURCE [' || {PUB} || ', ' || {CITE} || '] — ' || coalesce(c.heading, '') || ' ---' || chr(10) || coalesce(c.content, '') || chr(10), chr(10) ORDER BY t.place)) AS context_md5 FROM top t JOIN chk c ON c.id = t.chunk_id JOIN docs d ON d.id = c.doc_id GROUP BY 1")
 def context_build(spark, folder):
-    x = answer.context(_top(spark, folder, 3, "heading", "content", "page_start", "page_end"))
+    x = answer.context(_top(spark, folder, 6, "heading", "content", "page_start", "page_end"))
     return x.select("ask_id", F.md5("context").alias("context_md5"))
 
 

@@ -28,6 +28,8 @@ def test_from_layout_to_tables(spark, data, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "a.json").write_text("\n".join(json.dumps(r) for r in rows))
     assert cli.main(["cut", "--tables", str(tmp_path), "--out", str(tmp_path / "chunks")]) == 0
+    assert cli.main(["gate", "--tables", data, "--layout", str(tmp_path)]) == 1
+    assert cli.main(["verify", "--tables", data, "--layout", str(tmp_path)]) == 1
     for _ in range(2):
         assert cli.main(["load", "--tables", data, "--files", str(tmp_path / "chunks"), "--out", str(tmp_path / "db")]) == 0
     got = spark.read.parquet(str(tmp_path / "db/chunks")).collect()
