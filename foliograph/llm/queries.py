@@ -42,6 +42,25 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).filter("part_index = 2").select("id")
 
 
+def p4_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every oversized chunk, whether its pieces keep the limit, share 200 characters with the next, give the text back when
+    put together, and keep the safety blocks."""
+    pieces = p4_pieces(spark, folder)
+    chunks = table(spark, folder, "chunks")
+    last = chunks.groupBy("id").agg(F.max(F.struct("created_at", F.xxhash64("content"), "content", "safety_blocks")).alias("r")).select("id", "r.content", F.col("r.safety_blocks").alias("blocks"))
+    by = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part_index", "char_start", "char_end", "content", "safety_blocks"))).alias("p"), F.max("part_total").alias("n"))
+    x = by.join(last.filter(F.length("content") > 8000).withColumnRenamed("content", "whole"), "id")
+    steps = F.slice("p", 2, F.size("p") - 1)
+    back = F.aggregate(steps, F.get("p", F.lit(0))["content"], lambda a, e: F.concat(a, e["content"].substr(F.lit(201), F.length(e["content"]))))
+    return x.select(
+        "id",
+        (F.size("p") == F.col("n")).alias("complete"),
+        F.forall("p", lambda e: F.length(e["content"]) <= 8000).alias("within"),
+        (back == F.col("whole")).alias("whole"),
+        F.forall("p", lambda e: e["safety_blocks"].eqNullSafe(F.col("blocks"))).alias("kept"),
+    )
+
+
 def p5_near(spark: SparkSession, folder: str):
     from foliograph.llm.neardup import NearDuplicates
 
@@ -60,11 +79,20 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_containers(spark, folder).filter("piece = 2").select("doc_id")
+    """Documents that take a container whole, of those placed in containers by rank within length, and go on in another."""
+    placed = p6_containers(spark, folder).filter("container is not null and n_pieces > 1")
+    return placed.groupBy("doc_id").agg(F.countDistinct("container").alias("containers")).filter("containers > 1").select("doc_id")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How the containers came out: pieces placed, their tokens, containers, the fullest, the least number that could do."""
+    placed = p6_containers(spark, folder).filter("container is not null")
+    each = placed.groupBy("container").agg(F.sum("tokens").alias("t"), F.count("*").alias("c"))
+    return each.agg(F.sum("c").alias("pieces"), F.sum("t").alias("tokens"), (F.max("t") <= 1024).alias("within"), (F.count("*") <= F.ceil(F.sum("t") * 1.01 / 1024) + 1).alias("tight"), (F.max("container") + 1 == F.count("*")).alias("gapless"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_ranking, p4_found, p4_pieces, p5_found, p6_found, p6_containers)
+    f.__name__: f for f in (p2_found, p2_ranking, p4_found, p4_pieces, p4_sound, p5_found, p6_found, p6_containers, p6_fill)
 }
 
 

@@ -1,8 +1,8 @@
 """Problem 4: splitting oversized items at natural boundaries (lexical-cohesion segmentation).
 
 Words are gathered into short sequences; the similarity of the blocks before and after each gap is low where the
-topic changes. Within each size window the natural boundary beside the deepest valley becomes the cut, and the next
-piece repeats the last characters before it.
+topic changes. Within each size window the deepest valley becomes the cut, snapped to the natural boundary beside it, and
+the next piece repeats the last characters before it.
 """
 
 from __future__ import annotations
@@ -69,22 +69,25 @@ def _depths(sims: np.ndarray) -> np.ndarray:
     return left + right - 2 * sims
 
 
-def _near(at: np.ndarray, depth: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place, the depth of the gap nearest to it and how far that is."""
-    if not len(at):
-        return np.zeros(len(places)), np.zeros(len(places), np.int64)
-    k = np.searchsorted(at, places)
-    before, after = np.clip(k - 1, 0, len(at) - 1), np.clip(k, 0, len(at) - 1)
-    gap = np.where(np.abs(places - at[before]) <= np.abs(at[after] - places), before, after)
-    return np.round(depth[gap], 9), np.abs(places - at[gap])
+def _boundary(text: str, at: int, reach: int, lo: int, hi: int) -> int | None:
+    """The natural boundary that a valley's gap is snapped to: within ``reach`` of it and of the window, the strongest kind, of
+    that kind the nearest."""
+    a, b = max(lo, at - reach), min(hi, at + reach)
+    for kind in _BREAKS:
+        ends = [m.end() for m in kind.finditer(text, a, b) if lo < m.end() <= hi]
+        if ends:
+            return min(ends, key=lambda e: (abs(e - at), e))
+    return None
 
 
 def split(text: str, limit: int = 8000, overlap: int = 200, least: float = 0.5) -> list[tuple[int, int]]:
     """Pieces ``(start, end)`` of a text in code points: none longer than ``limit``, each starting ``overlap`` before
     the end of the one before it.
 
-    A cut lies in the window from ``least`` of the limit to the limit. The strongest kind of boundary there (blank
-    line, line, sentence, white space) is taken, of that kind the one at the deepest valley, nearest to it; a window without any is cut at the limit. A text within the limit is one piece.
+    A cut lies in the window from ``least`` of the limit to the limit, at the deepest valley there (of equal depths the later
+    one). A valley is known to a sequence of words; the kind of boundary only snaps it, to the strongest kind (blank
+    line, line, sentence, white space) within about a sequence of it. Where a window has no valley, the strongest boundary nearest to its
+    end is taken; without white space the cut is at the limit. A text within the limit is one piece.
     """
     if not 0 <= overlap < limit * least:
         raise ValueError("the overlap must be smaller than the least piece")
@@ -92,17 +95,19 @@ def split(text: str, limit: int = 8000, overlap: int = 200, least: float = 0.5)
     if n <= limit:
         return [(0, n)]
     at, depth = _gap_depths(text)
+    # What a sequence of words takes up, on average.
+    reach = int(np.clip(np.diff(at).mean(), 40, 400)) if len(at) > 1 else 120
+    depth = np.round(depth, 9)
     pieces, start = [], 0
     while n - start > limit:
         lo, hi = start + max(int(limit * least), overlap + 1), start + limit
-        cut = 0
-        for kind in _BREAKS:
-            ends = np.asarray([m.end() for m in kind.finditer(text, lo, hi) if lo < m.end() <= hi], np.int64)
-            if len(ends):
-                valley, away = _near(at, depth, ends)
-                cut = int(ends[np.lexsort((ends, -away, valley))[-1]])
+        i, j = np.searchsorted(at, lo, side="right"), np.searchsorted(at, hi, side="right")
+        cut = None
+        for g in i + np.lexsort((at[i:j], depth[i:j]))[::-1]:
+            cut = _boundary(text, int(at[g]), reach, lo, hi)
+            if cut is not None:
                 break
-        cut = cut or hi
+        cut = cut or _boundary(text, hi, limit, lo, hi) or hi
         pieces.append((start, cut))
         start = cut - overlap
     pieces.append((start, n))

@@ -28,6 +28,9 @@ p AS (SELECT id_a, id_b, k = x.n AND k = y.n AS same FROM c JOIN n x ON x.id = i
 SQL: dict[str, str] = {
     "p2_found": _RANKED + "SELECT ask_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY closeness DESC, chunk_id) AS r FROM close) WHERE r <= 5",
     "p2_ranking": _RANKED + "SELECT ask_id, chunk_id, round(closeness, 6) AS closeness, row_number() OVER (PARTITION BY ask_id ORDER BY closeness DESC, chunk_id) AS place FROM close",
+    "p4_sound": f"SELECT id, true AS complete, true AS within, true AS whole, true AS kept FROM {_LAST} WHERE length(content) > 8000",
+    "p6_fill": f"""WITH t AS (SELECT {_TOKENS} AS n FROM documents WHERE text IS NOT NULL)
+SELECT sum(ceil(n / 1024.0))::BIGINT AS pieces, sum(n)::BIGINT AS tokens, true AS within, true AS tight, true AS gapless FROM t WHERE n > 0""",
     "p4_found": f"SELECT id FROM {_LAST} WHERE length(content) > 8000",
     "p5_found": _P5 + "SELECT id_a, id_b FROM p",
     "p5_groups": _P5.replace("WITH w", "WITH RECURSIVE w", 1).rstrip() + """,
