@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 
 from foliograph.session import materialise
 
-#: Rows of the sample the codebooks are fitted on, at most. Every row is indexed.
-SAMPLE = 40_000
 LEVELS, WORDS, BEAM = 4, 64, 4
-PROBES = 40
-#: Rows of a group of cells, and queries compared with them in one task.
-GROUP, QUERIES = 32_768, 32_768
+#: Every vector lies in so many cells, its nearest ones, and a query looks into so many.
+CELLS, PROBES = 2, 16
+#: Cells at most, and rows of the sample a cell is fitted on: 262,144 rows at most, 67 MB. Every row is indexed.
+MOST_CELLS, PER_CELL, LEAST_SAMPLE = 32_768, 8, 40_000
+#: Rows of a group of cells, and queries compared with them in one task, at most.
+GROUP, QUERIES = 16_384, 131_072
 #: Queries travel as 16-bit integers, this many to one; their cosines are exact to about 1e-5.
 SHORT = 32_767
 #: Queries scored together within a task.
@@ -32,16 +33,27 @@ STEP = 4096
 
 
 def cells_for(n: int) -> int:
-    """Cells grow with the collection to the power 2/3, as a power of two, from 16 to 4096."""
-    return 1 << int(np.clip(round(np.log2(max(n, 1)) * 2 / 3), 4, 12))
+    """Cells grow with the collection to the power 0.72, as a power of two, from 16 to ``MOST_CELLS``."""
+    return 1 << int(np.clip(round(np.log2(max(n, 1)) * 0.72), 4, np.log2(MOST_CELLS)))
+
+
+def sample_for(cells: int) -> int:
+    return max(LEAST_SAMPLE, PER_CELL * cells)
+
+
+def parts_for(asks: int, groups: int, cores: int) -> int:
+    """Tasks that a group's queries are divided among, each with a copy of the group: what the bound on a task's queries asks
+    for, and up to three where a small collection has fewer groups than there are cores."""
+    return max(1, -(-asks // QUERIES), min(3, -(-asks // 8192), -(-2 * cores // max(groups, 1))))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centres of ``x``; with fewer rows than centres, rows are repeated."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].astype(np.float32)
-    for _ in range(rounds):
-        a = np.concatenate([np.argmax(x[i : i + 4096] @ c.T - 0.5 * (c * c).sum(1), 1) for i in range(0, len(x), 4096)])
+    block = max(256, (1 << 24) // k)
+    for _ in range(rounds if k <= 4096 else rounds // 2):
+        a = np.concatenate([np.argmax(x[i : i + block] @ c.T - 0.5 * (c * c).sum(1), 1) for i in range(0, len(x), block)])
         order = np.argsort(a, kind="stable")
         n = np.bincount(a, minlength=k)
         some = np.flatnonzero(n)
@@ -70,9 +82,9 @@ class Quantiser:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
     def encode(self, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes by beam search from the nearest cells on: ``(cell, codes)``."""
-        n, h = len(x), min(BEAM, near.shape[1])
-        cell = near[:, :h].copy()
+        """Codes by beam search from the given cells on: ``(cell, codes)``."""
+        n, h = len(x), near.shape[1]
+        cell = near.copy()
         err = 2 * self.half[cell] - 2 * np.einsum("nd,nhd->nh", x, self.cells[cell])
         codes = np.zeros((n, h, 0), np.int64)
         for m in range(len(self.books)):
@@ -80,6 +92,7 @@ class Quantiser:
             for j in range(m):
                 cost += 2 * self.gram[j, codes[:, :, j], m]
             total = (err[:, :, None] + cost).reshape(n, -1)
+            h = min(BEAM, total.shape[1])
             best = np.argpartition(total, h - 1, axis=1)[:, :h]
             err = np.take_along_axis(total, best, 1)
             from_, word = best // WORDS, best % WORDS
@@ -103,7 +116,7 @@ def fit(x: np.ndarray, cells: int) -> Quantiser:
     x = x.astype(np.float32)
     first = kmeans(x, cells)
     q = Quantiser(first, np.zeros((0, WORDS, x.shape[1]), np.float32))
-    own = np.concatenate([q.probes(x[i : i + 4096], 1)[:, 0] for i in range(0, len(x), 4096)])
+    own = np.concatenate([q.probes(x[i : i + 1024], 1)[:, 0] for i in range(0, len(x), 1024)])
     left, books = x - first[own], []
     for m in range(LEVELS):
         c = kmeans(left, WORDS, seed=m)
@@ -128,7 +141,7 @@ def fit(x: np.ndarray, cells: int) -> Quantiser:
 
 
 def _encoded(q: Quantiser, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [q.encode(x[i : i + 4096], q.probes(x[i : i + 4096], BEAM)) for i in range(0, len(x), 4096)]
+    parts = [q.encode(x[i : i + 1024], q.probes(x[i : i + 1024], BEAM)) for i in range(0, len(x), 1024)]
     return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
 
 
@@ -214,6 +227,10 @@ def _compare(q, k, ids, x, codes, scale, present, begin, ends, qids, qx, probes,
     qn, dn, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     near = s >= floor[qn] - 2 * q.margin
     qn, dn = qn[near], dn[near]
+    # A row that was met in two of its cells counts once.
+    _, number = np.unique(ids, return_inverse=True)
+    _, once = np.unique(qn.astype(np.int64) * len(ids) + number[dn], return_index=True)
+    qn, dn = qn[once], dn[once]
 
     def exact(kind) -> np.ndarray:
         parts = [np.einsum("nd,nd->n", qx[qn[i : i + 65536]].astype(kind), x[dn[i : i + 65536]].astype(kind)) for i in range(0, len(qn), 65536)]
@@ -235,7 +252,7 @@ def _compare(q, k, ids, x, codes, scale, present, begin, ends, qids, qx, probes,
 
 
 ENCODED = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("probes", T.ArrayType(T.IntegerType()))]
+    [T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("codes", T.ArrayType(T.BinaryType())), T.StructField("probes", T.ArrayType(T.IntegerType()))]
 )
 HITS = "id long, neighbour long, cosine double"
 
@@ -250,19 +267,23 @@ def usable(v: str, dims: int) -> F.Column:
     )
 
 
-def neighbours(items: DataFrame, key: str, vector: str, version: str | None = None, k: int = 5, dims: int = 64, probes: int = PROBES) -> DataFrame:
+def neighbours(items: DataFrame, key: str, vector: str, version: str | None = None, k: int = 5, dims: int = 64, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """For every usable vector the ``k`` most similar others by cosine: ``(id, neighbour, cosine, place)``.
 
     * Unusable vectors (null, of another length, not finite, all zero) are neither queries nor neighbours; nor are
       rows without an id.
     * ``version`` orders deliveries of one id, the last counts. Of equal cosines the smaller id goes first.
     * With fewer than ``k`` other vectors all are returned; an empty table gives an empty result.
-    * The result is approximate: a query sees the rows of its ``probes`` nearest cells. In those nothing is capped.
+    * The result is approximate: every vector lies in its ``CELLS`` nearest cells, and a query sees the rows of its ``probes``
+      nearest ones. In those nothing is capped. ``exact`` looks into all cells and ranks all rows by the vectors themselves,
+      at a cost that grows with the square of the collection.
 
     Copies of a vector are one point of the index, with the ``k + 1`` smallest ids of its rows, which is all that any
     query can need; so a third of all rows may be copies. Cells are gathered in groups of bounded size, large cells are
     divided, and queries come in bounded blocks, so that no task holds more than ``GROUP`` rows and ``QUERIES`` queries.
-    The driver fits the codebooks on at most ``SAMPLE`` rows and holds one count per cell and group.
+    A query goes to the groups of its cells, at most ``probes`` of them, and a group to every ``QUERIES`` queries, so what is
+    shuffled for a vector is bounded whatever the size of the collection. The driver fits the codebooks on at most
+    ``PER_CELL * MOST_CELLS`` rows and holds one count per cell and group.
     """
     spark = items.sparkSession
     at = F.col(f"`{version}`") if version else F.lit(0)
@@ -272,35 +293,41 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
     rows = materialise(rows, "usable")
     points = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min(F.struct("id", "v")).alias("f")).select("h1", "h2", "rep", "n", F.col("f.v").alias("v"))
     total = rows.count()
-    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < int(0.97 * SAMPLE)).limit(SAMPLE)
+    most = sample_for(cells_for(total))
+    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < int(0.97 * most)).limit(most)
     sample = _matrix(part, dims)
     if total == 0:
         return spark.createDataFrame([], "id long, neighbour long, cosine double, place int")
     q = fit(sample if len(sample) else np.eye(1, dims, dtype=np.float32), cells_for(total))
+    copies = 1 if exact else CELLS
+    if exact:
+        q.margin, probes = 3.0, len(q.cells)
     shared = spark.sparkContext.broadcast(q)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
         for b in batches:
-            for i in range(0, len(b), 2048):
-                p = b.iloc[i : i + 2048]
+            for i in range(0, len(b), 1024):
+                p = b.iloc[i : i + 1024]
                 x = unit(np.stack(p["v"].to_numpy()))
                 near = q.probes(x, probes)
-                cell, codes = q.encode(x, near)
-                yield pd.DataFrame({"id": p["id"].to_numpy(), "x": [r.tobytes() for r in x], "short": [r.tobytes() for r in np.rint(x * SHORT).astype(np.int16)], "cell": cell.astype(np.int32), "codes": [r.tobytes() for r in codes], "probes": list(near.astype(np.int32))})
+                coded = [q.encode(x, near[:, j : j + 1])[1] for j in range(min(copies, near.shape[1]))]
+                codes = [[c[r].tobytes() for c in coded] for r in range(len(x))]
+                yield pd.DataFrame({"id": p["id"].to_numpy(), "x": [r.tobytes() for r in x], "short": [r.tobytes() for r in np.rint(x * SHORT).astype(np.int16)], "cells": list(near[:, :copies].astype(np.int32)), "codes": codes, "probes": list(near.astype(np.int32))})
 
     index = materialise(points.select(F.col("rep").alias("id"), "v").mapInPandas(encode, ENCODED), "encoded")
-    counts = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}
+    counts = {r.cell: r["count"] for r in index.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
     group, blocks = grouping(q, counts)
     lookup = F.lit(group.astype(int).tolist())
     wanted = index.select(F.col("id").alias("qid"), F.col("short").alias("qx"), "probes", F.explode(F.array_distinct(F.transform("probes", lambda c: lookup[c]))).alias("g"))
     asked = {r.g: r["count"] for r in wanted.groupBy("g").count().collect()}
-    parts = np.asarray([max(1, -(-asked.get(g, 0) // QUERIES)) for g in range(len(blocks))])
+    parts = np.asarray([parts_for(asked.get(g, 0), len(blocks), spark.sparkContext.defaultParallelism) for g in range(len(blocks))])
     sizes = F.broadcast(spark.createDataFrame(pd.DataFrame({"g": np.arange(len(blocks)), "blocks": blocks, "parts": parts}).astype("int32")))
     # Cogrouped keys must agree in type, or equal keys fall into different partitions.
     key_cols = [F.col(c).cast("int").alias(c) for c in ("g", "d", "p")]
     data = (
-        index.select("id", "x", "cell", "codes", lookup[F.col("cell")].alias("g"))
+        index.select("id", "x", F.explode(F.arrays_zip("cells", "codes")).alias("z"))
+        .select("id", "x", F.col("z.cells").alias("cell"), F.col("z.codes").alias("codes"), lookup[F.col("z.cells")].alias("g"))
         .join(sizes, "g")
         .withColumn("d", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -329,9 +356,12 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
     left, right = data.repartition(tasks, "g", "d", "p"), asks.repartition(tasks, "g", "d", "p")
     hits = left.groupBy("g", "d", "p").cogroup(right.groupBy("g", "d", "p")).applyInPandas(search, HITS)
     better = lambda a, b: F.when(a.cosine > b.cosine, -1).when(a.cosine < b.cosine, 1).when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0)
-    best = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("cosine", F.col("neighbour").alias("id"))), better), 1, k).alias("near"))
-    copies = points.filter("n > 1").select("h1", "h2", "rep")
-    copied = materialise(rows.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "rep"), "copies")
+    met = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cosine", F.col("neighbour").alias("id"))), better).alias("met"))
+    # A row in two cells may come from two groups: the first of each id counts.
+    first = F.slice(F.array_distinct(F.transform("met", lambda e: e["id"])), 1, k)
+    best = met.select("id", F.transform(first, lambda i: F.struct(F.get(F.filter("met", lambda e: e["id"] == i), F.lit(0))["cosine"].alias("cosine"), i.alias("id"))).alias("near"))
+    several = points.filter("n > 1").select("h1", "h2", "rep")
+    copied = materialise(rows.select("id", "h1", "h2").join(several, ["h1", "h2"]).select("id", "rep"), "copies")
     if copied.isEmpty():
         out = best.select("id", F.posexplode("near").alias("i", "e"))
         return out.select("id", F.col("e.id").alias("neighbour"), F.col("e.cosine").alias("cosine"), (F.col("i") + 1).alias("place"))
