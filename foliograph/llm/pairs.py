@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +33,12 @@ _NOTHING = set(
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TOKEN = re.compile(r"[^\W_]+")
+#: A run without white space that has a digit, found from its beginning only.
+_DIGITS = re.compile(r"(?<!\S)[^\s\d]*+\d\S*")
+_MASKS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d+|[,:;]")
+_BULLET = re.compile(r"^\s*(?:\d+[.)]|[-*•–])\s+")
+_STOPPED = re.compile(r"(?<=[.!?…])\s+")
+_MARKS = re.compile(r"[\s()\[\]{}<>*_.\"'`«»–—\-]+")
 _CYRILLIC = re.compile(r"[а-яёіїєґ]", re.I)
 _UNITS = set("kpa psi bar rpm mm cm m l ml kw w hz mv v n nm mpa kg g c f s h min кпа бар мм см м л мл квт вт гц мв в н нм мпа кг г об мин ч с стр p pp page adem".split())
 
@@ -50,9 +57,15 @@ _REFUSAL = [
         r"\bне могу\b.*\b(?:ответ|помо|подсказ|сказать|совет|найти)|\bне (?:вправе|имею права)\b|\bзатрудня\w+ (?:ответ|с ответ)|\bвынужден\w* отказ|\bотказываюсь\b",
         r"\bне (?:нашл\w*|найден\w*|обнаружен\w*|содерж\w*|описыва\w*|упомина\w*|указан\w*|приложен\w*)\b|\bничего не сказано\b|\bэтого нет\b|\bнет (?:информации|данных|сведений|ответа)\b",
         r"\bза рамк\w+\b|\bответить нельзя\b|\bданных\b.*\bнедостаточно\b|\bобратитесь к\b|\bне знаю\b|\bне располагаю\b",
-        # German, Spanish, French
+        # Turned down without "cannot"
+        r"\bi(?:['’]d| would) (?:rather|prefer) not\b|\bnot something i(?: am|['’]m| can| could)\b|\bno way (?:of knowing|to know|for me)\b|\bas an? (?:ai|language model|assistant)\b|\bi won['’]t be able\b|\bi am afraid i\b|\bi['’]m afraid (?:i|that)\b|\bno comment\b",
+        # Chinese, Japanese, Korean, Arabic
+        r"无法|不能(?:回答|提供)|抱歉|对不起|不知道|没有(?:相关|找到)|申し訳|お答えできません|(?:わ|分)かりません|記載(?:され|が)(?:ていません|ありません)|죄송|답변할 수 없|알 수 없|모르겠|لا (?:أستطيع|يمكنني|أعرف|أعلم)|آسف|عذرا",
+        # German, Spanish, Italian, Portuguese, French
         r"\b(?:kann|können|darf)\b.*\bnicht\b.*\b(?:beantworten|antworten|helfen|sagen|finden)\b|\bweiß (?:ich )?(?:es )?nicht\b|\bleider\b.*\b(?:nicht|kein\w*)\b|\bkeine (?:angaben?|informationen?|daten)\b|\btut mir leid\b|\bnicht (?:beschrieben|erwähnt|enthalten|angegeben)\b",
         r"\bno (?:puedo|podemos)\b.*\b(?:responder|contestar|ayudar|encontrar|decir)\b|\blo siento\b|\bno (?:sé|se menciona|se describe|figura|aparece|consta|hay (?:información|datos))\b|\bel manual no\b",
+        r"\bnon (?:posso|possiamo|sono in grado|lo so|è (?:indicato|descritto|riportato))\b|\bmi dispiace\b|\bnon ho (?:informazioni|dati)\b",
+        r"\bnão (?:posso|podemos|consigo|sei|consta|é (?:indicado|descrito))\b|\b(?:desculpe|lamento|sinto muito)\b|\bnão (?:há|tenho) (?:informaç|dados)",
         r"\bne (?:peux|puis|pouvons)\b.*\b(?:répondre|aider|trouver|dire)\b|\bje ne sais pas\b|\bdésolé\w*\b|\baucune (?:information|donnée)\b",
     )
 ]
@@ -72,9 +85,16 @@ _STOP = {
     "en": set("the of and to is it in for with that this from at on be are was by an as or not before until must take use which when has have".split()),
     "de": set("der die das und ist nicht mit von den dem ein eine einen für auf bei nach muss wird bitte wieder bis zum zur dann im siehe auch wert lautet zuerst danach".split()),
     "es": set("el la los las y es de del que para con una un por se no al en debe luego después primero hasta vea también pieza use dato su lo".split()),
+    "it": set("il lo la gli le e è di del della che per con una un non si nel al dopo prima fino anche sono deve questo quando valore olio pompa".split()),
+    "pt": set("o os a as e é de do da dos das que para com uma um não se no na ao depois antes até também são deve este quando valor óleo bomba".split()),
     "fr": set("le la les et est de des du que pour avec une un par se ne pas au aux en doit puis après il elle dans sur".split()),
 }
-_MARKED = {"de": re.compile("[äöüß]"), "es": re.compile("[ñ¿¡áíóú]"), "fr": re.compile("[àâçèêëîïôùûœ]")}
+#: Languages of each of these words.
+_TOLD = {w: tuple(k for k, v in _STOP.items() if w in v) for v in _STOP.values() for w in v}
+#: Scripts that tell the language by themselves.
+_SCRIPTS = (("ja", re.compile("[\u3040-\u30ff]")), ("ko", re.compile("[\uac00-\ud7af\u1100-\u11ff]")), ("zh", re.compile("[\u4e00-\u9fff]")), ("ar", re.compile("[\u0600-\u06ff]")), ("he", re.compile("[\u0590-\u05ff]")), ("el", re.compile("[\u0370-\u03ff]")), ("hi", re.compile("[\u0900-\u097f]")), ("th", re.compile("[\u0e00-\u0e7f]")), ("ka", re.compile("[\u10a0-\u10ff]")), ("hy", re.compile("[\u0530-\u058f]")))
+_OTHER = re.compile("[\u0370-\u03ff\u0530-\u06ff\u0900-\u0eff\u10a0-\u11ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
+_MARKED = {"it": re.compile("[èìò]"), "pt": re.compile("[ãõ]"), "de": re.compile("[äöüß]"), "es": re.compile("[ñ¿¡áíóú]"), "fr": re.compile("[àâçèêëîïôùûœ]")}
 _FUNCTION = set(
     "a an the of and or to in on at by for with from into over under if when which than as is are was be not cannot can must before after between until while but so then because without during per via about against and/or "
     "и или а но в во на к ко у о об от до за из с со по при под над без для через если когда что чтобы который которая которое которые не ни как так то же бы ли либо чем между перед после пока также "
@@ -83,31 +103,57 @@ _FUNCTION = set(
 )
 _ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•–])\s+\S")
 _COUNTED = re.compile(r"\b(\d{1,3})\s+(?:\w+\s+)?(?:шаг\w*|действи\w*|пункт\w*|операци\w*|steps?|items?|points?|actions?|schritte?n?|punkte?n?|pasos?|puntos?|étapes?)\s*:", re.I)
-_CLOSED = re.compile(r"[.!?…][\"'”»)\]*]*$")
+_CLOSED = re.compile(r"[.!?…。！？][\"'”»)\]*]*$")
 _PAIRS = (("(", ")"), ("[", "]"), ("«", "»"), ("“", "”"), ("„", "“"), ("{", "}"))
 
 
 def language(text: str, least: int = 2) -> str | None:
     """The language of a text's words; figures, units, codes and citations have none. None where it can't be told."""
-    bare = re.sub(r"\S*\d\S*", " ", _CITATION.sub(" ", _TAG.sub(" ", text)))
+    bare = _DIGITS.sub(" ", _CITATION.sub(" ", _TAG.sub(" ", text)))
     words = [w for w in (x.lower() for x in _WORD.findall(bare)) if w not in _UNITS and len(w) > 1 or w in ("y", "a", "в", "и", "с", "к", "у", "о")]
     if not words:
         return None
-    cyrillic = sum(bool(_CYRILLIC.search(w)) for w in words)
+    letters = "".join(words)
+    strange = _OTHER.findall(letters)
+    if len(strange) * 3 > len(letters):
+        # Kana tell Japanese from Chinese, so they count as all its signs.
+        return next((k for k, m in _SCRIPTS if m.search(letters) and (k in ("ja", "zh", "ko") or len(m.findall(letters)) * 2 > len(strange))), None)
+    cyrillic = sum("\u0400" <= w[0] <= "\u04ff" for w in words)
     if cyrillic * 2 > len(words):
         return "ru" if cyrillic >= 1 else None
-    latin = [w for w in words if not _CYRILLIC.search(w)]
+    latin = [w for w in words if not "\u0400" <= w[0] <= "\u04ff"]
     if len(latin) < least:
         return None
-    score = {k: sum(w in v for w in latin) for k, v in _STOP.items()}
-    for k, m in _MARKED.items():
-        score[k] += sum(bool(m.search(w)) for w in latin)
-    best = max(score, key=lambda k: (score[k], k == "en"))
+    score = dict.fromkeys(_STOP, 0)
+    for w in latin:
+        for k in _TOLD.get(w, ()):
+            score[k] += 1
+    if not letters.isascii():
+        for w in latin:
+            if not w.isascii():
+                for k, m in _MARKED.items():
+                    score[k] += bool(m.search(w))
+    best = max(score, key=lambda k: (score[k], k == "en", -_ORDER[k]))
     return best if score[best] else ("en" if len(latin) >= 3 else None)
 
 
+#: Of equal scores the language of the manuals goes first.
+_ORDER = {k: i for i, k in enumerate(("en", "de", "es", "fr", "it", "pt"))}
+
+
+@lru_cache(maxsize=10_000)
+def _asked(question: str) -> str | None:
+    """The language of a question; questions come again and again."""
+    return language(question)
+
+
+_ENDS = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])|\n+")
+#: A sentence that declines holds one of these.
+_NO = re.compile(r"n['’]t\b|\bnot?\b|cannot|unable|declin|refus|sorry|nothing|outside|beyond|unsafe|rather|prefer|afraid|as an? |\bне|\bнет\b|нич|затрудн|отказ|рамк|обратитесь|nicht|kein|leid|\bsé\b|siento|\bnon\b|dispiace|não|desculpe|lamento|sinto|\bne\b|désol|aucune|[^\x00-\u024f\u0400-\u04ff\u2000-\u22ff]", re.I)
+
+
 def _sentences(text: str) -> list[str]:
-    parts = re.split(r"(?<=[.!?…])[\"'”»)]*\s+|\n+", text)
+    parts = _ENDS.split(text)
     out = []
     for p in parts:
         p = re.sub(r"^\s*(?:\d+[.)]|[-*•])\s+", "", p).strip()
@@ -120,7 +166,7 @@ def _sentences(text: str) -> list[str]:
 def _only_declines(text: str) -> bool:
     refused = False
     for s in _sentences(text):
-        if any(p.search(s) for p in _REFUSAL):
+        if _NO.search(s) and any(p.search(s) for p in _REFUSAL):
             # A sentence that declines and yet goes on to give the matter is an answer.
             if re.search(r"\b(?:yet|but|however|зато|но|однако|aber|pero)\b.+", s, re.I) or re.search(r"\d+(?:[.,]\d+)?\s?(?:kPa|psi|bar|rpm|mm|L|kW|Hz|mV|N·m|°C|кПа|бар|мм|л|кВт|Н·м|об/мин)", s):
                 return False
@@ -140,12 +186,12 @@ def _gives_back(question: str, answer: str) -> bool:
 
 
 def _masked(text: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d+|[,:;]", re.sub(r"\S*\d\S*", "0", text.lower()))
+    return _MASKS.findall(_DIGITS.sub("0", text.lower()))
 
 
 def _bare(text: str) -> bool:
     """Whether a text holds values and codes only."""
-    rest = re.sub(r"\S*\d\S*", " ", text)
+    rest = _DIGITS.sub(" ", text)
     return bool(re.search(r"\d", text)) and not [w for w in _WORD.findall(rest) if w.lower() not in _UNITS and len(w) > 1]
 
 
@@ -190,8 +236,8 @@ def _grams(answer: str) -> tuple[list[str], list[str]]:
     body = _CITATION.sub(" ", answer)
     lines = [x for x in body.split("\n") if x.strip()]
     for i, line in enumerate(lines):
-        line = re.sub(r"^\s*(?:\d+[.)]|[-*•–])\s+", "", line)
-        parts = re.split(r"(?<=[.!?…])\s+", line.strip())
+        line = _BULLET.sub("", line)
+        parts = _STOPPED.split(line.strip())
         for j, p in enumerate(parts):
             t = _masked(p)
             finished = bool(_CLOSED.search(p)) or j < len(parts) - 1 or i < len(lines) - 1
@@ -216,23 +262,23 @@ def judge(question: str | None, answer: str | None, may_refuse: bool) -> tuple[l
     question, answer = question or "", answer or ""
     plain = _TAG.sub(" ", _CITATION.sub(" ", answer))
     core = _LABEL.sub(" ", plain)
-    mark = re.sub(r"[\s()\[\]{}<>*_.\"'`«»–—\-]+", " ", core).strip().lower()
-    if not _TOKEN.search(core) or mark in _NOTHING:
-        return ["empty"], None, [], []
-    ends, mids = _grams(answer)
-    found = []
+    mark = _MARKS.sub(" ", core).strip().lower() if len(core) < 200 else ""
+    empty = not _TOKEN.search(core) or mark in _NOTHING
+    ends, mids = ([], []) if empty else _grams(answer)
+    found = ["empty"] if empty else []
     if _gives_back(question, plain):
         found.append("copied_question")
     declines = _only_declines(core)
     if declines and not may_refuse:
         found.append("refusal")
-    asked, told = language(question), language(core, 3)
+    asked, told = _asked(question), language(core, 3)
     if asked and told and asked != told:
         found.append("wrong_language")
     stops, tail = _stops(answer)
     if stops:
         found.append("truncated")
-    return found, None if stops else tail, ends, mids
+    # Marks that leave a citation alone empty aren't cut tails as well.
+    return found, None if stops or empty else tail, ends, mids
 
 
 def defects(pairs: DataFrame, key: str = "result_id", question: str = "question", answer: str = "answer", may_refuse: str = "may_refuse") -> DataFrame:
