@@ -94,6 +94,7 @@ class Tagger:
     known: dict[str, int] = field(default_factory=dict)
     tables: list[np.ndarray] = field(default_factory=list)
     shapes: list[np.ndarray] = field(default_factory=list)
+    places: np.ndarray | None = None  # of every row of three shapes, its number among those that have weights
 
     def columns(self, types: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the features of each type of token: seen by neighbours, and all."""
@@ -114,11 +115,10 @@ class Tagger:
 
     def rows_of_three(self, shapes: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """The number of the row of three around each token; beyond a text's ends there is shape 0."""
-        code = triples(shapes, owner)
-        if not len(self.triples):
-            return np.zeros(len(code), np.int64)
-        at = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
-        return np.where(self.triples[at] == code, at, len(self.triples))
+        if self.places is None:
+            self.places = np.full(SHAPES**3, len(self.triples), np.int32)
+            self.places[self.triples] = np.arange(len(self.triples))
+        return self.places[triples(shapes, owner)]
 
 
 def triples(shapes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -303,10 +303,12 @@ def viterbi(em: np.ndarray, lens: np.ndarray, trans: np.ndarray, start: np.ndarr
     n, longest, _ = em.shape
     back = np.zeros(em.shape, np.int8)
     score = em[:, 0] + start
+    into = np.ascontiguousarray(trans.T)  # by the label gone to, so that the best one before lies side by side
     for i in range(1, longest):
-        cand = score[:, :, None] + trans
-        back[:, i] = cand.argmax(1)
-        score = np.where((lens > i)[:, None], cand.max(1) + em[:, i], score)
+        cand = score[:, None, :] + into
+        best = cand.argmax(2)
+        back[:, i] = best
+        score = np.where((lens > i)[:, None], np.take_along_axis(cand, best[:, :, None], 2)[:, :, 0] + em[:, i], score)
     out = np.zeros((n, longest), np.int8)
     label = score.argmax(1)
     for i in range(longest - 1, -1, -1):
@@ -346,15 +348,17 @@ def _decode(tag: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     em[:, 1::2] += BEGIN
     # What leaving O can gain, at most: a mention begins at some token, goes on over others and ends. Where no mention that
     # begins at a token can gain anything, none begins there.
-    at_line = np.fromiter((t[0] in "\n\r " and ("\n" in t or "\r" in t) for t in toks), bool, len(toks))
+    at_line = tag.shapes[0][ids] >= SHAPES // 2
     em[at_line[:, None] & INSIDE] = -1e4  # a mention stays within its line
-    step = np.where(tag.trans > -1e3, tag.trans, -np.inf) - tag.trans[0, 0]
+    # All tokens of a mention are of one kind, so the kinds are looked at one by one.
+    step = (np.where(tag.trans > -1e3, tag.trans, -np.inf) - tag.trans[0, 0]).astype(np.float32)
     rise = em[:, 1:] - em[:, :1]
-    begin = (rise[:, ::2] + step[0, 1::2]).max(1)
-    more = np.maximum((rise + step[:, 1:].max(0)).max(1), 0)
-    ahead = np.concatenate(([0.0], np.cumsum(more, dtype=np.float64)))
-    far = np.minimum(np.arange(len(ids)) + REACH, len(ids))
-    hot = np.flatnonzero(begin + (ahead[far] - ahead[np.arange(len(ids)) + 1]) + max(0.0, float(step[1:, 0].max())) > 0)
+    first, inner = rise[:, ::2] + step[:, 1::2].max(0), np.maximum(rise[:, 1::2] + step[:, 2::2].max(0), 0)
+    close = np.maximum(step[1::2][:, [0, *range(1, len(LABELS), 2)]].max(1), step[2::2][:, [0, *range(1, len(LABELS), 2)]].max(1))
+    ahead = np.concatenate((np.zeros((1, len(KINDS))), np.cumsum(inner, axis=0, dtype=np.float64)))
+    here = np.arange(len(ids))
+    far = np.minimum(here + REACH, len(ids))
+    hot = np.flatnonzero((first + (ahead[far] - ahead[here + 1]) + np.maximum(close, 0) > 0).any(1))
     if not len(hot):
         return spans
     base = np.cumsum(counts) - counts
