@@ -2,8 +2,8 @@
 
 A vector is written as a sum of full-dimensional codewords, one of each codebook, found by beam search. The first
 codebook is large and its code is the vector's cell; the others hold what is left. A query looks into the cells whose
-codewords are nearest to it, scores what lies there by lookup tables and stored norms, and what comes near the best is
-ranked again by the vectors themselves.
+codewords are nearest to it, scores what lies there by its sums of codewords at length one (the sums of lookup tables, as
+matrix products), and what comes near the best is ranked again by the vectors themselves.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ GROUP, QUERIES = 16_384, 131_072
 SHORT = 32_767
 #: Queries scored together within a task.
 STEP = 4096
+#: Scores held at once, by a cell's rows and queries.
+SCORES = 1 << 21
+#: Vectors held against all cells at once, and cells whose best one is looked at first.
+ROWS, RUN = 256, 64
 
 
 def cells_for(n: int) -> int:
@@ -76,10 +80,26 @@ class Quantiser:
 
     def probes(self, x: np.ndarray, p: int) -> np.ndarray:
         """The ``p`` nearest cells of each vector, nearest first."""
+        n = len(self.cells)
+        p = min(p, n)
+        if p < n:
+            return np.concatenate([self._probes(x[i : i + ROWS], p) for i in range(0, len(x), ROWS)] or [np.zeros((0, p), np.int64)])
         s = x @ self.cells.T - self.half
-        p = min(p, s.shape[1])
-        top = np.argpartition(-s, p - 1, axis=1)[:, :p] if p < s.shape[1] else np.tile(np.arange(p), (len(x), 1))
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+        return np.argsort(-s, axis=1, kind="stable")
+
+    def _probes(self, x: np.ndarray, p: int) -> np.ndarray:
+        s = x @ self.cells.T
+        s -= self.half
+        top = None
+        if s.shape[1] % RUN == 0 and s.shape[1] // RUN > p:
+            # The best p lie in those p runs of cells whose own best ones are the best.
+            runs = s.reshape(len(x), -1, RUN)
+            run = np.argpartition(runs.max(2), -p, axis=1)[:, -p:]
+            top = (run[:, :, None] * RUN + np.arange(RUN)).reshape(len(x), -1)
+            s = np.take_along_axis(runs, run[:, :, None], 1).reshape(len(x), -1)
+        at = np.argpartition(s, -p, axis=1)[:, -p:]
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+        return at if top is None else np.take_along_axis(top, at, 1)
 
     def encode(self, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes by beam search from the given cells on: ``(cell, codes)``."""
@@ -116,32 +136,32 @@ def fit(x: np.ndarray, cells: int) -> Quantiser:
     x = x.astype(np.float32)
     first = kmeans(x, cells)
     q = Quantiser(first, np.zeros((0, WORDS, x.shape[1]), np.float32))
-    own = np.concatenate([q.probes(x[i : i + 1024], 1)[:, 0] for i in range(0, len(x), 1024)])
-    left, books = x - first[own], []
+    near = q.probes(x, BEAM)  # the cells stay as they are from here on
+    left, books = x - first[near[:, 0]], []
     for m in range(LEVELS):
         c = kmeans(left, WORDS, seed=m)
         books.append(c)
         left = left - c[np.argmax(left @ c.T - 0.5 * (c * c).sum(1), 1)]
     q = Quantiser(first, np.stack(books))
     for _ in range(2):
-        cell, codes = _encoded(q, x)
+        cell, codes = _encoded(q, x, near)
         rows = np.zeros((len(x), LEVELS * WORDS), np.float32)
         rows[np.arange(len(x))[:, None], codes + np.arange(LEVELS) * WORDS] = 1
         gram = rows.T @ rows + 0.1 * np.eye(rows.shape[1], dtype=np.float32)
         books = np.linalg.solve(gram.astype(np.float64), (rows.T @ (x - first[cell])).astype(np.float64))
         q = Quantiser(first, books.astype(np.float32).reshape(LEVELS, WORDS, -1))
-    cell, codes = _encoded(q, x)
+    cell, codes = _encoded(q, x, near)
     back = q.decode(cell, codes)
     back /= np.maximum(np.linalg.norm(back, axis=1, keepdims=True), 1e-9)
-    near = np.argsort(cell, kind="stable")
+    by = np.argsort(cell, kind="stable")
     other = np.empty(len(x), np.int64)
-    other[near] = np.roll(near, 1)
+    other[by] = np.roll(by, 1)
     q.margin = max(float(np.std((x[other] * back).sum(1) - (x[other] * x).sum(1))), 0.02)
     return q
 
 
-def _encoded(q: Quantiser, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [q.encode(x[i : i + 1024], q.probes(x[i : i + 1024], BEAM)) for i in range(0, len(x), 1024)]
+def _encoded(q: Quantiser, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [q.encode(x[i : i + 1024], near[i : i + 1024]) for i in range(0, len(x), 1024)]
     return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
 
 
@@ -181,52 +201,54 @@ def compare(q: Quantiser, k: int, ids: np.ndarray, x: np.ndarray, cell: np.ndarr
     ids, x, cell, codes = ids[order], x[order], cell[order], codes[order].astype(np.int64)
     present, begin = np.unique(cell, return_index=True)
     ends = np.append(begin[1:], len(cell))
-    scale = (1 / np.maximum(np.linalg.norm(q.decode(cell, codes), axis=1), 1e-9)).astype(np.float32)  # the stored norms
-    out = [_compare(q, k, ids, x, codes, scale, present, begin, ends, qids[i : i + STEP], qx[i : i + STEP], probes[i : i + STEP], i) for i in range(0, len(qids), STEP)]
+    # Sums of codewords at length one: their products with a query are the sums of its table entries times the stored norms.
+    back = q.decode(cell, codes)
+    back /= np.maximum(np.linalg.norm(back, axis=1, keepdims=True), 1e-9)
+    out = [_compare(q, k, ids, x, back, present, begin, ends, qids[i : i + STEP], qx[i : i + STEP], probes[i : i + STEP], i) for i in range(0, len(qids), STEP)]
     return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _compare(q, k, ids, x, codes, scale, present, begin, ends, qids, qx, probes, base):
+def _compare(q, k, ids, x, back, present, begin, ends, qids, qx, probes, base):
+    sizes = np.fromiter(map(len, probes), np.int64, len(probes))
     flat = np.concatenate(probes)
-    who = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
+    who = np.repeat(np.arange(len(probes)), sizes)
     nearest = np.zeros(len(flat), bool)
-    nearest[np.concatenate(([0], np.cumsum([len(p) for p in probes])[:-1]))[[len(p) > 0 for p in probes]]] = True
+    nearest[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     by = np.argsort(flat, kind="stable")
     flat, who, nearest = flat[by], who[by], nearest[by]
     lows, highs = np.searchsorted(flat, present), np.searchsorted(flat, present, side="right")
-    tables = [np.ascontiguousarray(b @ qx.T) for b in q.books]
-    floor = np.full(len(qids), -2.0, np.float32)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def scores(c: int, a: int, b: int, qs: np.ndarray) -> np.ndarray:
-        """Of the cell's rows (down) for the queries (across): sums of table entries times the stored norms."""
-        s = np.broadcast_to(qx[qs] @ q.cells[c], (b - a, len(qs))).copy()
-        for m, t in enumerate(tables):
-            s += t[:, qs][codes[a:b, m]]
-        s *= scale[a:b, None]
-        s[ids[a:b, None] == qids[qs]] = -3.0
-        return s
-
-    def keep(s: np.ndarray, a: int, qs: np.ndarray) -> None:
-        hit = np.flatnonzero(s >= floor[qs] - 2 * q.margin)
-        i, j = hit // len(qs), hit % len(qs)
-        s = s.ravel()[hit]
-        real = s > -3.0
-        found.append((qs[j[real]], a + i[real], s[real]))
+    asker = np.argsort(qids, kind="stable")
+    mine = asker[np.minimum(np.searchsorted(qids, ids, sorter=asker), len(qids) - 1)]
+    mine[qids[mine] != ids] = -1  # of each row, its own query
+    floor, least = (np.full(len(qids), -2.0, np.float32) for _ in range(2))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def visit(a: int, b: int, qs: np.ndarray, bare: bool) -> None:
+        """A cell's rows (down) for queries (across). What comes within two margins of the floor of scores is held by the
+        vectors themselves against the k-th best so far; where queries are ``bare`` of floors, the cell sets them."""
+        s, e = back[a:b] @ qx[qs].T, x[a:b] @ qx[qs].T
+        at = np.minimum(np.searchsorted(qs, mine[a:b]), len(qs) - 1)
+        own = np.flatnonzero(qs[at] == mine[a:b])
+        s[own, at[own]] = e[own, at[own]] = -3.0
+        if bare and b - a >= k:
+            floor[qs] = _kth(s, k)
+        near = s >= floor[qs] - 2 * q.margin
+        if bare and b - a >= k:
+            least[qs] = _kth(np.where(near, e, np.float32(-3.0)), k)
+        near &= e >= np.maximum(least[qs] - 1e-4, -2.5)
+        hit = np.flatnonzero(near)
+        found.append((qs[hit % len(qs)], a + hit // len(qs)))
 
     # Each query's first cell sets what the others must come near to; the rest only has to pass it.
     for first in (True, False):
-        for c, a, b, lo, hi in zip(present, begin, ends, lows, highs):
+        for a, b, lo, hi in zip(begin, ends, lows, highs):
             qs = who[lo:hi][nearest[lo:hi] == first]
-            if not len(qs):
-                continue
-            s = scores(c, a, b, qs)
-            if b - a >= k and (first or (floor[qs] < -1).any()):
-                floor[qs] = np.maximum(floor[qs], np.partition(s.T, b - a - k, axis=1)[:, b - a - k])
-            keep(s, a, qs)
-    qn, dn, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    near = s >= floor[qn] - 2 * q.margin
-    qn, dn = qn[near], dn[near]
+            without = floor[qs] < -1
+            width = max(1, SCORES // (b - a))
+            for some, bare in ((qs[without], True), (qs[~without], False)):
+                for i in range(0, len(some), width):
+                    visit(a, b, some[i : i + width], bare)
+    qn, dn = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
     # A row that was met in two of its cells counts once.
     _, number = np.unique(ids, return_inverse=True)
     _, once = np.unique(qn.astype(np.int64) * len(ids) + number[dn], return_index=True)
@@ -379,6 +401,11 @@ def neighbours(items: DataFrame, key: str, vector: str, version: str | None = No
     return out.select("id", F.col("e.id").alias("neighbour"), F.col("e.cosine").alias("cosine"), (F.col("i") + 1).alias("place"))
 
 
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each column, -2 at least."""
+    return np.maximum(np.partition(np.ascontiguousarray(s.T), len(s) - k, axis=1)[:, len(s) - k], -2.0)
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Vectors of length one; the largest value is divided out first, so that no square overflows."""
     v = v.astype(np.float64)
